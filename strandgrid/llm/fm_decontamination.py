@@ -14,14 +14,13 @@ an empty benchmark hits nothing; texts of any length are whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgrid.llm._common import id_text, row_blocks, sha, table, text_arrays
+from strandgrid.llm._common import id_text, row_blocks, table, text_arrays
 
 WINDOW = 8
 CONTAMINATED = 2
@@ -220,11 +219,10 @@ def find_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: i
     ``items`` is a bounded group of the benchmark.  Spans and item_ids that ``docs`` has from an earlier group are kept.
     """
     held = docs.sparkSession.sparkContext.broadcast(items)
-    made = lru_cache(maxsize=1)(lambda: Phrases(held.value, window))
     earlier = "spans" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = made()
+        phrases = Phrases(held.value, window)
         kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
         for batch in batches:
             data, offsets = text_arrays(batch.column("text"))
