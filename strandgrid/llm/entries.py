@@ -7,9 +7,10 @@ from strandgrid.llm.quality_classifier import op9_subword_quality
 from strandgrid.llm.sharding import op6_hash_tree_shards
 from strandgrid.llm.signature_join import op10_signature_tree_join
 from strandgrid.llm.speculative_bpe import op4_speculative_bpe
+from strandgrid.llm.suffix_dedup import op5_suffix_family_dedup
 from strandgrid.llm.token_counts import op1_transducer_counts
 from strandgrid.llm.url_filter import op7_url_vocabulary
 
-QUERIES = {f.__name__: f for f in (op1_transducer_counts, op3_fm_index_leaks, op4_speculative_bpe, op6_hash_tree_shards, op7_url_vocabulary, op9_subword_quality, op10_signature_tree_join)}
+QUERIES = {f.__name__: f for f in (op1_transducer_counts, op3_fm_index_leaks, op4_speculative_bpe, op5_suffix_family_dedup, op6_hash_tree_shards, op7_url_vocabulary, op9_subword_quality, op10_signature_tree_join)}
 
 ORACLE_SQL: dict[str, str] = {}
