@@ -68,8 +68,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < n)]
     inner = inner[~blank[inner] & ~blank[inner - 1]]  # a word that ends and one that begins at the edge of two texts
-    start = np.union1d(np.flatnonzero(edge & ~blank), inner)
-    end = np.union1d(np.flatnonzero(edge & blank), inner)
+    end, start = edge & blank, edge & ~blank
+    start[inner] = end[inner] = True
+    start, end = np.flatnonzero(start), np.flatnonzero(end)
     grow = np.full(n, _K)
     grow[0] = 1
     shrink = np.full(n, np.uint64(pow(int(_K), -1, 2**64)))
