@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from strandgrid.llm.chat_windows import op2_budgeted_windows
 from strandgrid.llm.fm_decontamination import op3_fm_index_leaks
+from strandgrid.llm.hash_forest import op8_hash_prefix_forest
 from strandgrid.llm.quality_classifier import op9_subword_quality
 from strandgrid.llm.sharding import op6_hash_tree_shards
 from strandgrid.llm.signature_join import op10_signature_tree_join
@@ -11,6 +13,6 @@ from strandgrid.llm.suffix_dedup import op5_suffix_family_dedup
 from strandgrid.llm.token_counts import op1_transducer_counts
 from strandgrid.llm.url_filter import op7_url_vocabulary
 
-QUERIES = {f.__name__: f for f in (op1_transducer_counts, op3_fm_index_leaks, op4_speculative_bpe, op5_suffix_family_dedup, op6_hash_tree_shards, op7_url_vocabulary, op9_subword_quality, op10_signature_tree_join)}
+QUERIES = {f.__name__: f for f in (op1_transducer_counts, op2_budgeted_windows, op3_fm_index_leaks, op4_speculative_bpe, op5_suffix_family_dedup, op6_hash_tree_shards, op7_url_vocabulary, op8_hash_prefix_forest, op9_subword_quality, op10_signature_tree_join)}
 
 ORACLE_SQL: dict[str, str] = {}
