@@ -59,7 +59,7 @@ def id_filter(ids: DataFrame) -> IdFilter:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b): the smallest node reachable.
+    """(node, component) of the nodes of ``edges`` (a, b) that reach a smaller one: the smallest node reachable.
 
     Large-star and small-star rounds (Kiveris et al., 2014) until no edge changes; each round is a written table.
     """

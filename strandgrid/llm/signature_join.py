@@ -7,11 +7,14 @@ traversal drops every pair of nodes whose largest possible overlap is too small
 Blocks come from the sets in hash order.  Documents with equal sets are one class from the start.
 
 1. Classes that share their smallest shingle are joined with their whole sets: this finds most links.
-2. Linked classes share one of their first n - ceil(3n/4) + 1 shingles (prefix filter).  Classes that share such a
-   shingle and are not yet connected are joined by bitmaps, and the pairs that pass are compared set by set.
+2. Linked classes share one of their first n - ceil(3n/4) + 1 shingles, in any order that is the same for all (prefix
+   filter).  The order puts shingles of very many documents last: they are counted, over all documents, in a sketch of
+   fixed size, whose only effect is the order.  So a common passage makes no large block.  Classes that share such a shingle and are not yet connected are joined by bitmaps, and the pairs that pass are compared set by set.
 
-So no link between different components is missed.  Blocks beyond BLOCK classes are split: in step 1 by a hash (what it
-misses, step 2 finds), in step 2 into ranges of sizes, each joined with itself and with those it may link to.
+   First only the BEST pairs of every two components of a block are compared, then all pairs of what is still apart.
+
+So no link between different components is missed.  Large blocks are split: in step 1 by a hash (what it misses, step 2
+finds), in step 2 into ranges of sizes, each joined with itself and with those it may link to.
 
 Defined cases: a text with fewer than five words has its whole sequence as its only shingle; null and word-free texts
 have none and form components of their own; rows that repeat link as equal sets; texts of any length are whole; a class
@@ -21,23 +24,30 @@ whose rows all lack an id has a null component; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandgrid.llm._common import drop_written, id_text, row_blocks, table, text_arrays, written
 from strandgrid.llm._graph import IdFilter, components, id_filter
 
 WORDS = 5
-BLOCK = 4096
-FANOUT, LEADERS = 8, 6
+#: Most classes of a block that holds whole sets (step 1) or bitmaps (step 2).
+BLOCK, WIDE = 4096, 100_000
+FANOUT, LEADERS, BEST = 8, 6, 3
 #: Blocks of so many rows need no tree above their leaves.
 SMALL = 16
 #: Bytes of packed postings that one task of the prefix filter should hold.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
+#: Bytes of postings that a task holds before it sends them on.
+FLUSH_BYTES = 24 << 20
+#: Counters of the sketch, and those sent in one row.  A counter is high from OFTEN + OFTEN_TIMES times the mean.
+COUNTERS, CHUNK = 1 << 20, 1 << 15
+OFTEN, OFTEN_TIMES = 256, 8
 NO_ID = -(2**63)
 
 _K = np.uint64(0x100000001B3)
@@ -114,8 +124,8 @@ def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
 
 
 def width(n: int) -> int:
-    """Bits of a set's bitmap: a power of two, twice the set's size at least."""
-    return max(64, 1 << (2 * int(n) - 1).bit_length())
+    """Bits of a set's bitmap: a power of two, four times the set's size at least."""
+    return max(64, 1 << (4 * int(n) - 1).bit_length())
 
 
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -151,6 +161,12 @@ class SignatureTree:
             ok[part] = 7 * most >= 3 * (low[a] + low[b])
         return ok
 
+    def overlap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Shared bits of documents, as a share of their sizes."""
+        bits, size = self.levels[-1][:2]
+        parts = [np.bitwise_count(bits[i[k : k + (1 << 14)]] & bits[j[k : k + (1 << 14)]]).sum(axis=1) for k in range(0, len(i), 1 << 14)]
+        return np.concatenate(parts).astype(np.float64) / (size[i] + size[j]) if parts else np.zeros(0)
+
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of document pairs (i < j) that the traversal can't rule out."""
         todo = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -232,32 +248,64 @@ def join_sets(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([root(i) for i in range(n)])
 
 
-def sets_of(batches: Iterator[pa.RecordBatch], only: IdFilter | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(ids, shingle sets) of blocks of rows; with ``only``, of the rows whose id passes."""
+def sets_of(batches: Iterator[pa.RecordBatch], only: IdFilter | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """(rows, shingle sets) of blocks of rows; with ``only``, of the rows whose id passes."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
         if only is not None:
-            keep = only.passes(ids)
-            ids, batch = ids[keep], batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(only.passes(batch.column(0).to_numpy(zero_copy_only=False))))
         data, offsets = text_arrays(batch.column(1))
         for i, j in row_blocks(offsets):
-            yield ids[i:j], shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield batch.slice(i, j - i), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return id_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    return id_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("key"))
 
 
 def class_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, class, n, least of every row: its set's class, size and smallest hash (null for an empty set)."""
+    """doc_id, key, class, n, least of every row: hash of its text; its set's class, size and smallest hash (null if
+    empty).  Besides, chunk and counts: each task's counters of the shingles of its classes."""
+    names = ["doc_id", "key", "class", "n", "least", "chunk", "counts"]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in sets_of(batches):
-            none = [not len(s) for s in sets]
-            value = lambda f: pa.array([None if x else f(s) for s, x in zip(sets, none, strict=True)], pa.int64())  # noqa: B023, E731
-            yield pa.record_batch([pa.array(ids, pa.int64()), value(class_of), pa.array([len(s) for s in sets], pa.int64()), value(lambda s: int(s[:1].view(np.int64)[0]))], ["doc_id", "class", "n", "least"])
+        counts, seen = np.zeros(COUNTERS, np.uint32), set()
+        for rows, sets in sets_of(batches):
+            classes = [class_of(s) if len(s) else None for s in sets]
+            new = [s for s, c in zip(sets, classes, strict=True) if c is not None and c not in seen and not seen.add(c)]
+            if new:
+                counts += np.bincount((np.concatenate(new) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            n = len(sets)
+            columns = [classes, [len(s) for s in sets], [int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], [None] * n, [None] * n]
+            yield pa.record_batch([rows.column(0), rows.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds[2:], strict=True))], names)
+        parts = counts.reshape(-1, CHUNK)
+        full = np.flatnonzero(parts.any(axis=1)).tolist()
+        none = [None] * len(full)
+        columns = [none] * 5 + [full, [zlib.compress(parts[k].tobytes(), 1) for k in full]]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, class long, n long, least long, chunk int, counts binary")
+
+
+def common_shingles(rows: DataFrame) -> np.ndarray:
+    """Whether each counter of the sketch is high; of fixed size, so it may be collected and broadcast."""
+
+    def total(t: pa.Table) -> pa.Table:
+        out = np.zeros(CHUNK, np.uint64)
+        for x in t.column("counts").to_pylist():
+            out += np.frombuffer(zlib.decompress(x), np.uint32)
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "counts": [out.tobytes()]})
 
-    return keyed(docs).mapInArrow(run, "doc_id long, class long, n long, least long")
+    counts = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint64)
+    for r in rows.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(total, "chunk int, counts binary").collect():
+        counts[r["chunk"]] = np.frombuffer(r["counts"], np.uint64)
+    return counts.ravel() > OFTEN + OFTEN_TIMES * counts.mean()
+
+
+def common_last(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A sorted set with its common shingles after the others."""
+    last = common[(own & np.uint64(len(common) - 1)).astype(np.int64)]
+    return np.concatenate([own[~last], own[last]]) if last.any() else own
 
 
 def whole_sets(docs: DataFrame, only: IdFilter) -> DataFrame:
@@ -332,8 +380,9 @@ def linked_in_parts(docs: DataFrame, reps: DataFrame, buckets: int, level: int)
     return rows.select("bucket", "least", "part", "class", "set").groupBy("bucket").applyInArrow(run, "class long, root long")
 
 
-def shared_prefixes(docs: DataFrame, buckets: int) -> DataFrame:
+def shared_prefixes(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
     """Step 2: key, class, n for every prefix shingle that two or more classes of fitting sizes hold."""
+    held = docs.sparkSession.sparkContext.broadcast(common)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -355,10 +404,10 @@ def shared_prefixes(docs: DataFrame, buckets: int) -> DataFrame:
                     continue
                 seen.add(c)
                 own = np.empty((prefix_length(len(s)), 3), np.int64)
-                own[:, 0], own[:, 1], own[:, 2] = s[: len(own)].view(np.int64), c, len(s)
+                own[:, 0], own[:, 1], own[:, 2] = common_last(s, held.value)[: len(own)].view(np.int64), c, len(s)
                 kept.append(own)
                 size += own.nbytes
-            if size > 64 << 20:
+            if size > FLUSH_BYTES:
                 yield flush()
                 kept.clear()
                 size = 0
@@ -387,10 +436,20 @@ def small_blocks(block: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(i), np.concatenate([x + d for d, x in enumerate(i, 1)])
 
 
-def bitmap_pairs(rows: DataFrame, buckets: int) -> DataFrame:
-    """Distinct a, b (classes of different components) that the trees of the blocks of ``rows`` can't rule out.
+def best_of(score: np.ndarray, c0: np.ndarray, c1: np.ndarray, most: int) -> np.ndarray:
+    """The pairs with the ``most`` highest scores of every two components."""
+    low, high = np.minimum(c0, c1), np.maximum(c0, c1)
+    order = np.lexsort((-score, high, low))
+    new = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]))
+    first = np.flatnonzero(new)
+    return order[np.arange(len(order)) - first[np.cumsum(new) - 1] < most]
+
+
+def bitmap_pairs(rows: DataFrame, buckets: int, best: int | None = None) -> DataFrame:
+    """a, b, ca, cb (classes and their different components) that the trees of the blocks can't rule out.
 
     ``rows``: block, side (null: the whole block is joined with itself; else 0 and 1 are joined), class, comp, n, bits.
+    ``best``: only so many pairs of every two components of a bucket, those with the largest possible overlap.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -401,12 +460,15 @@ def bitmap_pairs(rows: DataFrame, buckets: int) -> DataFrame:
         band = np.array([len(x) for x in packed], np.int64)
         cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         many = np.diff(np.append(cut, len(block)))
-        left, right = [], []
+        made: list[np.ndarray] = []
 
-        def add(i: np.ndarray, j: np.ndarray) -> None:
+        def add(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
             keep = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
-            left.append(np.minimum(cls[i], cls[j])[keep])
-            right.append(np.maximum(cls[i], cls[j])[keep])
+            i, j = np.where(cls[i] < cls[j], i, j)[keep], np.where(cls[i] < cls[j], j, i)[keep]
+            if best is not None and len(i):
+                own = best_of(score[keep], comp[i], comp[j], best)
+                i, j = i[own], j[own]
+            made.append(np.stack([cls[i], cls[j], comp[i], comp[j]], 1))
 
         i, j = small_blocks(block, np.repeat(many, many))
         low = np.minimum(band[i], band[j])
@@ -416,20 +478,19 @@ def bitmap_pairs(rows: DataFrame, buckets: int) -> DataFrame:
             own, where = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
             tree = SignatureTree(np.concatenate([fold(packed[k][None], w) for k in own]), n[own], comp[own])
             ok = tree.possible(tree.levels[-1], where[: len(at)], where[len(at) :])
-            add(i[at[ok]], j[at[ok]])
+            add(i[at[ok]], j[at[ok]], tree.overlap(where[: len(at)][ok], where[len(at) :][ok]))
         for a, k in zip(cut[many > SMALL].tolist(), many[many > SMALL].tolist(), strict=True):
             for w in np.unique(band[a : a + k]).tolist():  # documents that may link have equal or neighbouring widths
                 own = a + np.flatnonzero((band[a : a + k] == w) | (band[a : a + k] == 2 * w))
                 own = own[np.lexsort((n[own], comp[own]))]
                 tree = SignatureTree(np.concatenate([fold(packed[x][None], w) for x in own]), n[own], comp[own])
                 for i, j in tree.pairs():
-                    i, j = own[i], own[j]
-                    fits = np.minimum(band[i], band[j]) == w
-                    add(i[fits], j[fits])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0]), pa.int64()), "b": pa.array(np.ascontiguousarray(pairs[:, 1]), pa.int64())})
+                    fits = np.minimum(band[own[i]], band[own[j]]) == w
+                    add(own[i[fits]], own[j[fits]], tree.overlap(i[fits], j[fits]))
+        pairs = np.unique(np.concatenate(made), axis=0) if made else np.zeros((0, 4), np.int64)
+        return pa.table({k: pa.array(np.ascontiguousarray(pairs[:, x]), pa.int64()) for x, k in enumerate(("a", "b", "ca", "cb"))})
 
-    return rows.withColumn("bucket", F.pmod("block", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return rows.withColumn("bucket", F.pmod("block", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long, ca long, cb long")
 
 
 def blocks_of(members: DataFrame) -> DataFrame:
@@ -437,11 +498,11 @@ def blocks_of(members: DataFrame) -> DataFrame:
 
     A split group's ranges of n are each joined with themselves (side null) and with the ranges that reach up to 4/3.
     """
-    small = members.where(F.col("size") <= BLOCK).select(F.xxhash64("key").alias("block"), F.lit(None).cast("int").alias("side"), "class", "comp", "n")
+    small = members.where(F.col("size") <= WIDE).select(F.xxhash64("key").alias("block"), F.lit(None).cast("int").alias("side"), "class", "comp", "n")
     # equal hash parts of a range of sizes; every two parts of ranges that may link meet once
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.34)))).cast("int")
-    large = members.where(F.col("size") > BLOCK).withColumn("band", band)
-    parts = (F.col("size") / (BLOCK // 2)).cast("int") + 1
+    large = members.where(F.col("size") > WIDE).withColumn("band", band)
+    parts = (F.col("size") / (WIDE // 2)).cast("int") + 1
     large = large.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     # cell = (band, part); it meets (band, any part) and (band + 1, any part) as side 0 or 1, and itself
     other = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct((F.col("band") + d).alias("band"), p.alias("part"))))))
@@ -453,24 +514,48 @@ def blocks_of(members: DataFrame) -> DataFrame:
 
 
 def true_links(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose whole sets link."""
+    """a, b: the components ca, cb of the rows of ``pairs`` (a, b, ca, cb) whose whole sets link."""
     ids = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = whole_sets(docs, id_filter(ids.join(reps, "class").select("doc_id"))).dropDuplicates(["class"])
+    ids = written(ids.join(reps, "class").select("class", "doc_id"), "asked")
+    sets = written(whole_sets(docs, id_filter(ids.select("doc_id"))).join(ids.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
     left = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keep = [links(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x.column("sa").to_pylist(), x.column("sb").to_pylist(), strict=True)]
-            yield x.select(["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
+            yield x.select(["ca", "cb"]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "sa", "sb").mapInArrow(run, "a long, b long, ca long, cb long")
+    found = pairs.join(left, "a").join(right, "b").select("ca", "cb", "sa", "sb").mapInArrow(run, "a long, b long")
+    found = written(found.distinct(), "links")
+    drop_written(sets)
+    return found
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+def open_groups(members: DataFrame) -> DataFrame:
+    """key, size, class, comp, n: the groups of members of several components, gathered by their smallest class.
+
+    Keys whose smallest class is the same share most members (copies share most of their shingles): they are one group,
+    in which a class stands once and a pair meets once.
+    """
+    least = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("class").alias("first")).where("c0 <> c1")
+    gathered = members.join(least.select("key", "first"), "key").groupBy("first", "class").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
+    sizes = gathered.groupBy("first").agg(F.count(F.lit(1)).alias("size"))
+    return gathered.join(sizes, "first").select(F.col("first").alias("key"), "size", "class", "comp", "n")
+
+
+def relabelled(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """``rows`` with their comp replaced by the component of ``met`` (node, component) that it belongs to."""
+    other = [c for c in rows.columns if c != "comp"]
+    return rows.join(met.withColumnRenamed("node", "comp"), "comp", "left").select(*other, F.coalesce("component", "comp").alias("comp"))
+
+
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """doc_id (NO_ID for null), key, n, comp of every row of ``docs`` (doc_id, text): equal comp for linked rows, null
+    for rows without shingles."""
     spark = docs.sparkSession
-    rows = written(class_rows(docs), "classes")
+    made = written(class_rows(docs), "classes")
+    common, rows = common_shingles(made), made.where("chunk is null").drop("chunk", "counts")
     reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("least").alias("least"))
     held = rows.agg(F.sum("n")).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -478,23 +563,26 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     roots = first_links(docs, reps, max(shuffle, held * 8 // BUCKET_BYTES + 1))
     comp = F.coalesce("root", "class").alias("comp")
-    members = written(shared_prefixes(docs, buckets).join(roots, "class", "left").select("key", "class", "n", comp), "prefixes")
-    groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("print"))
-    # of keys with the same members one is enough
-    groups = groups.where("c0 <> c1").groupBy("print", "size").agg(F.min("key").alias("key")).select("key", "size")
-    open_members = written(members.join(groups, "key").select("key", "size", "class", "comp", "n"), "open")
-    own = open_members.select("class").distinct().join(reps, "class").select("doc_id")
-    bits = open_members.agg(F.sum("n")).first()[0] or 0
-    pairs = bitmap_pairs(blocks_of(open_members).join(bitmaps(docs, id_filter(own)), "class"), max(shuffle, bits // 4 // BUCKET_BYTES + 1))
-    label = open_members.select("class", "comp").distinct()
-    pairs = pairs.join(label.select(F.col("class").alias("a"), F.col("comp").alias("ca")), "a").join(label.select(F.col("class").alias("b"), F.col("comp").alias("cb")), "b")
-    pairs = written(pairs, "pairs")
-    met = written(components(true_links(docs, pairs, reps).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "components")
-    for t in (members, open_members, pairs):
-        drop_written(t)
-
-    named = rows.join(roots, "class", "left").select("doc_id", "n", comp).join(met.withColumnRenamed("node", "comp"), "comp", "left")
-    named = named.select("doc_id", "n", F.coalesce("component", "comp").alias("comp"))
+    members = written(shared_prefixes(docs, buckets, common).join(roots, "class", "left").select("key", "class", "n", comp), "prefixes")
+    apart = written(open_groups(members), "open")
+    drop_written(members)
+    own = apart.select("class").distinct().join(reps, "class").select("doc_id")
+    bits = written(bitmaps(docs, id_filter(own)), "bitmaps")
+    held = apart.agg(F.sum("n")).first()[0] or 0
+    parts = max(shuffle, held // BUCKET_BYTES + 1)
+    named = rows.join(roots, "class", "left").select("doc_id", "key", "n", comp)
+    for best in (BEST, None):
+        pairs = written(bitmap_pairs(blocks_of(apart).join(bits, "class"), parts, best).distinct(), "pairs")
+        met = written(components(true_links(docs, pairs, reps)), "components")
+        named = relabelled(named, met)
+        if best is not None:
+            apart = written(open_groups(relabelled(apart.drop("size"), met)), "open")
+    return named
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    named = written(linked_rows(docs), "linked")
     least = named.where("comp is not null").groupBy("comp").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("component_id"))
     return named.join(least, "comp", "left").select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
@@ -503,5 +591,25 @@ def link_components(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` of which one row of each linked group stays: of the smallest id (null last), then
+    text hash.  Rows without shingles are linked with nothing and all stay."""
+    named = written(linked_rows(docs), "linked")
+    first = F.min(F.struct((F.col("doc_id") == NO_ID).alias("last"), F.col("doc_id"), F.col("key")))
+    kept = named.where("comp is not null").groupBy("comp").agg(first.alias("first")).select("first.doc_id", "first.key")
+    same = named.where("comp is not null").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    alone = named.where("comp is null").select("doc_id", "key", F.lit(1).cast("long").alias("copies")).distinct()
+    kept = written(kept.join(same, ["doc_id", "key"]).unionByName(alone), "kept")
+    # the rows travel as one struct, so their names can't clash with ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    stay = rows.join(kept, ["doc_id", "key"])
+    if kept.where("copies > 1").isEmpty():
+        return stay.select("row.*")
+    # rows that repeat id and text: one of them
+    order = Window.partitionBy("doc_id", "key").orderBy(F.lit(1))
+    repeated = stay.where("copies > 1").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return stay.where("copies = 1").select("row.*").unionByName(repeated.select("row.*"))
+
+
 def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
