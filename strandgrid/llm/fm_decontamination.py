@@ -213,13 +213,13 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: int = WINDOW, keep_text: bool = False, earlier: bool = False) -> DataFrame:
     """doc_id, n_words, spans of hit words, item_ids (and text) of every row of ``docs`` (doc_id, text).
 
-    ``items`` is a bounded group of the benchmark.  Spans and item_ids that ``docs`` has from an earlier group are kept.
+    ``items`` is a bounded group of the benchmark.  With ``earlier``, ``docs`` is this function's result for another
+    group, and its spans and item_ids are kept.
     """
     held = docs.sparkSession.sparkContext.broadcast(items)
-    earlier = "spans" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(held.value, window)
@@ -242,6 +242,53 @@ def find_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: i
     return rows.mapInArrow(run, f"doc_id long, n_words long, spans {_SPANS}, item_ids array<bigint>" + ", text string" * keep_text)
 
 
+def word_places(text: bytes) -> np.ndarray:
+    """Where each word begins and ends in the bytes of a text (k x 2)."""
+    inside = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 32
+    return np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))).reshape(-1, 2)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = CONTAMINATED) -> DataFrame:
+    """The rows and columns of ``docs`` without its contaminated rows (windows of ``limit`` items or more) and, in the
+    others, without the words of benchmark windows (n_chars, if there, counted anew).  Clean rows stay as they are."""
+    for items in benchmark_passes(benchmark):
+        docs = _cut_leaks(docs, items, window, limit)
+    return docs
+
+
+def _cut_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: int, limit: int) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(items)
+    place = docs.columns.index("text")
+    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(held.value, window)
+        for batch in batches:
+            _, offsets = text_arrays(batch.column(place))
+            for i, j in row_blocks(offsets):
+                part = batch.slice(i, j - i)
+                texts = part.column(place).to_pylist()
+                raw = [(t or "").encode() for t in texts]
+                _, spans, found = document_hits(phrases, raw)
+                sizes = part.column(count).to_pylist() if count is not None else None
+                for k, own in enumerate(spans):
+                    if not len(own):
+                        continue
+                    at, kept, places = 0, [], word_places(raw[k])
+                    for a, b in own.tolist():
+                        kept.append(raw[k][at : places[a, 0]])
+                        at = int(places[b - 1, 1])
+                    texts[k] = (b"".join(kept) + raw[k][at:]).decode()
+                    if sizes is not None:
+                        sizes[k] = len(texts[k])
+                part = part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
+                if sizes is not None:
+                    part = part.set_column(count, part.schema.field(count), pa.array(sizes, part.schema.field(count).type))
+                yield part.filter(pa.array([len(x) < limit for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def benchmark_passes(benchmark: DataFrame, key: str = "item_id", most: int = PASS_BYTES) -> list[list[tuple[int | None, bytes]]]:
     """The benchmark's rows in groups of at most ``most`` bytes (a longer row is a group of its own)."""
     out: list[list[tuple[int | None, bytes]]] = [[]]
@@ -260,7 +307,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """find_leaks for a benchmark of any size: its groups are searched one after the other in the same scan."""
     passes = benchmark_passes(benchmark)
     for k, items in enumerate(passes):
-        docs = find_leaks(docs, items, window, keep_text=k < len(passes) - 1)
+        docs = find_leaks(docs, items, window, keep_text=k < len(passes) - 1, earlier=k > 0)
     return docs
 
 

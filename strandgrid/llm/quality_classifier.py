@@ -33,6 +33,8 @@ LEAST_STEPS = 6000
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
+#: Bytes of text whose features are made at once.
+STEP_BYTES = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIER = np.uint64(0x100000001B3)
@@ -165,7 +167,7 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: bo
         own = held.value
         for batch in batches:
             data, offsets = text_arrays(batch.column("text"))
-            parts = [own.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in row_blocks(offsets)]
+            parts = [own.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in row_blocks(offsets, STEP_BYTES)]
             score = np.concatenate(parts) if parts else np.zeros(0)
             if keep:
                 yield batch.filter(pa.array(score >= threshold))
@@ -177,6 +179,11 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: bo
     return id_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` that a model of their own labels doesn't reject."""
+    return scores(docs, fit(docs, labels), keep=True)
+
+
 def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = scores(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -35,8 +35,9 @@ LENGTH, GRAM = 200, 64
 #: Most different surroundings of one gram that are compared in one task.
 HOT = 50_000
 #: Anchors in a batch of the family, and in a partition.
-BATCH, PARTITION = 40_000, 120_000
-BUCKET_BYTES = 24 << 20
+BATCH, PARTITION = 30_000, 90_000
+#: Bytes of anchors that a task holds before it sends them on, and that a bucket should hold.
+FLUSH_BYTES, BUCKET_BYTES = 24 << 20, 16 << 20
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -186,7 +187,7 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 own = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j])
                 kept.append(own)
                 size += own.nbytes
-                if size > 64 << 20:
+                if size > FLUSH_BYTES:
                     yield flush()
                     kept.clear()
                     size = 0
@@ -442,16 +443,16 @@ def union_spans(asked: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def removal_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """The rows of ``docs`` (which has text, key and size) with ``spans``: intervals (a, b) of repeated bytes."""
-    spans = repeated_intervals(docs, hot).groupBy("text", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+def span_table(docs: DataFrame, hot: int | None = None) -> DataFrame:
+    """key, size, spans of the texts of ``docs`` (text, key, size) that lose bytes; spans: intervals (a, b)."""
+    spans = repeated_intervals(docs, HOT if hot is None else hot).groupBy("text", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     copies = docs.groupBy("key", "size").agg(F.count(F.lit(1)).alias("copies")).where((F.col("copies") > 1) & (F.col("size") >= LENGTH))
     whole = copies.select(F.col("key").alias("text"), "size", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("spans"))
     both = spans.unionByName(whole).groupBy("text", "size").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return docs.join(both.withColumnRenamed("text", "key"), ["key", "size"], "left")
+    return both.withColumnRenamed("text", "key")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,10 +473,46 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    rows = removal_spans(with_keys(id_text(docs))).select("doc_id", "text", "spans")
+    keyed = with_keys(id_text(docs))
+    rows = keyed.join(span_table(keyed, hot), ["key", "size"], "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` with repeated passages cut out of text (and n_chars, if there, counted anew).
+
+    A character that a cut would split goes with the passage, so the text stays valid.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = with_keys(docs.select("text"))
+    # the rows travel as one struct, so their names can't clash with ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"))
+    rows = rows.join(span_table(keyed), ["key", "size"], "left").select("row", "spans")
+    place, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.column("row").flatten()
+            texts = columns[place].to_pylist()
+            for k, asked in enumerate(batch.column("spans").to_pylist()):
+                if not asked:
+                    continue
+                raw, at, kept = texts[k].encode(), 0, []
+                for a, b in union_spans(asked):
+                    while a > 0 and raw[a] & 0xC0 == 0x80:
+                        a -= 1
+                    while b < len(raw) and raw[b] & 0xC0 == 0x80:
+                        b += 1
+                    kept.append(raw[at:a])
+                    at = max(at, b)
+                texts[k] = (b"".join(kept) + raw[at:]).decode()
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = rows.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op5_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
