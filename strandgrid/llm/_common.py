@@ -12,11 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+
+
+#: Most rows and bytes of the Arrow batches between Spark and Python; both sides hold a few of them for each task.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Lower the session's limits on Arrow batches to ours; lower ones stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(size).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(size, BATCH_BYTES)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sha(data: bytes) -> str:
@@ -25,6 +39,7 @@ def sha(data: bytes) -> str:
 
 def text_arrays(col) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and n+1 offsets into them; null counts as empty."""
+    pa.default_memory_pool().release_unused()  # of the batches before
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     col = pc.fill_null(col, "").cast(pa.large_string())
     n, at = len(col), col.offset
@@ -58,7 +73,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut and lost executors cost no recomputation."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

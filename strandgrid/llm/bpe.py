@@ -112,13 +112,15 @@ class PairTable:
 
     def holds(self, a: int, b: int) -> bool:
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
-            m = self.merges
-            ids = m.symbols(m.token_bytes[a], False) + m.symbols(m.token_bytes[b], m.ends[b])
-            known = self.pairs[a, b] = m.merge(ids) == [a, b]
+            known = self.pairs[a, b] = self.decided(a, b)
         return known
 
+    def decided(self, a: int, b: int) -> bool:
+        m = self.merges
+        return m.merge(m.symbols(m.token_bytes[a], False) + m.symbols(m.token_bytes[b], m.ends[b])) == [a, b]
+
 
 def default_path(name: str) -> str:
     return public_tokenizers.path(name)

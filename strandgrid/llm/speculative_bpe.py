@@ -31,7 +31,7 @@ from strandgrid.llm._common import id_text, row_blocks, table, text_arrays
 from strandgrid.llm.bpe import PairTable, default_path, load
 
 #: Encodings that a worker remembers; all are dropped beyond this.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 
 
 class KnownPairs:
@@ -46,8 +46,8 @@ class KnownPairs:
         at, found = self._find(asked)
         if not found.all():
             new = np.unique(asked[~found])
-            stand = np.array([self.table.holds(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
-            if len(self.keys) > 4_000_000:
+            stand = np.array([self.table.decided(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
+            if len(self.keys) > 2_000_000:
                 self.keys, self.stand = np.zeros(0, np.int64), np.zeros(0, bool)
                 return self.check(left, right)
             self.keys, self.stand = np.concatenate([self.keys, new]), np.concatenate([self.stand, stand])
