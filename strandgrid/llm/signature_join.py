@@ -49,6 +49,7 @@ FLUSH_BYTES = 24 << 20
 COUNTERS, CHUNK = 1 << 20, 1 << 15
 OFTEN, OFTEN_TIMES = 256, 8
 NO_ID = -(2**63)
+POSTING = np.dtype([("key", "<u8"), ("class", "<i8"), ("n", "<i4")])
 
 _K = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -390,8 +391,8 @@ def shared_prefixes(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFr
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = np.concatenate(kept) if kept else np.zeros((0, 3), np.int64)
-            where = (rows[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            rows = np.concatenate(kept) if kept else np.zeros(0, POSTING)
+            where = (rows["key"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             rows, where = rows[order], where[order]
             cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
@@ -403,8 +404,8 @@ def shared_prefixes(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFr
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 seen.add(c)
-                own = np.empty((prefix_length(len(s)), 3), np.int64)
-                own[:, 0], own[:, 1], own[:, 2] = common_last(s, held.value)[: len(own)].view(np.int64), c, len(s)
+                own = np.empty(prefix_length(len(s)), POSTING)
+                own["key"], own["class"], own["n"] = common_last(s, held.value)[: len(own)], c, len(s)
                 kept.append(own)
                 size += own.nbytes
             if size > FLUSH_BYTES:
@@ -414,10 +415,11 @@ def shared_prefixes(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFr
         yield flush()
 
     def shared(t: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(t.column("blob").to_pylist()), np.int64).reshape(-1, 3)
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        same = rows[1:, 0] == rows[:-1, 0]
-        rows = rows[np.append(same, False) | np.append(False, same)]
+        packed = np.frombuffer(b"".join(t.column("blob").to_pylist()), POSTING)
+        order = np.argsort(packed["key"], kind="stable")
+        same = packed["key"][order[1:]] == packed["key"][order[:-1]]
+        packed = packed[order[np.append(same, False) | np.append(False, same)]]
+        rows = np.stack([packed["key"].view(np.int64), packed["class"], packed["n"].astype(np.int64)], 1)
         rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
         new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)) if len(rows) else np.zeros(0, bool)
         rows = rows[new]
@@ -446,7 +448,8 @@ def best_of(score: np.ndarray, c0: np.ndarray, c1: np.ndarray, most: int) -> np.
 
 
 def bitmap_pairs(rows: DataFrame, buckets: int, best: int | None = None) -> DataFrame:
-    """a, b, ca, cb (classes and their different components) that the trees of the blocks can't rule out.
+    """a, b, ca, cb (classes and their different components) that the trees of the blocks can't rule out; or, in
+    ``again``, a block of which not all pairs were given.
 
     ``rows``: block, side (null: the whole block is joined with itself; else 0 and 1 are joined), class, comp, n, bits.
     ``best``: only so many pairs of every two components of a bucket, those with the largest possible overlap.
@@ -461,12 +464,14 @@ def bitmap_pairs(rows: DataFrame, buckets: int, best: int | None = None) -> Data
         cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         many = np.diff(np.append(cut, len(block)))
         made: list[np.ndarray] = []
+        again: list[np.ndarray] = []
 
         def add(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
             keep = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
             i, j = np.where(cls[i] < cls[j], i, j)[keep], np.where(cls[i] < cls[j], j, i)[keep]
             if best is not None and len(i):
                 own = best_of(score[keep], comp[i], comp[j], best)
+                again.append(np.unique(np.delete(block[i], own)))
                 i, j = i[own], j[own]
             made.append(np.stack([cls[i], cls[j], comp[i], comp[j]], 1))
 
@@ -488,9 +493,11 @@ def bitmap_pairs(rows: DataFrame, buckets: int, best: int | None = None) -> Data
                     fits = np.minimum(band[own[i]], band[own[j]]) == w
                     add(own[i[fits]], own[j[fits]], tree.overlap(i[fits], j[fits]))
         pairs = np.unique(np.concatenate(made), axis=0) if made else np.zeros((0, 4), np.int64)
-        return pa.table({k: pa.array(np.ascontiguousarray(pairs[:, x]), pa.int64()) for x, k in enumerate(("a", "b", "ca", "cb"))})
+        rest = np.unique(np.concatenate(again)).tolist() if again else []
+        out = {k: pa.array(pairs[:, x].tolist() + [None] * len(rest), pa.int64()) for x, k in enumerate(("a", "b", "ca", "cb"))}
+        return pa.table(out | {"again": pa.array([None] * len(pairs) + rest, pa.int64())})
 
-    return rows.withColumn("bucket", F.pmod("block", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long, ca long, cb long")
+    return rows.withColumn("bucket", F.pmod("block", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long, ca long, cb long, again long")
 
 
 def blocks_of(members: DataFrame) -> DataFrame:
@@ -529,6 +536,7 @@ def true_links(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     found = pairs.join(left, "a").join(right, "b").select("ca", "cb", "sa", "sb").mapInArrow(run, "a long, b long")
     found = written(found.distinct(), "links")
     drop_written(sets)
+    drop_written(ids)
     return found
 
 
@@ -559,7 +567,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("least").alias("least"))
     held = rows.agg(F.sum("n")).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffle, held * 6 // BUCKET_BYTES + 1)  # a quarter of the shingles, 24 bytes each
+    buckets = max(shuffle, held * POSTING.itemsize // 4 // BUCKET_BYTES + 1)  # a quarter of the shingles
 
     roots = first_links(docs, reps, max(shuffle, held * 8 // BUCKET_BYTES + 1))
     comp = F.coalesce("root", "class").alias("comp")
@@ -571,12 +579,17 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     held = apart.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle, held // BUCKET_BYTES + 1)
     named = rows.join(roots, "class", "left").select("doc_id", "key", "n", comp)
+    done = [bits]
     for best in (BEST, None):
-        pairs = written(bitmap_pairs(blocks_of(apart).join(bits, "class"), parts, best).distinct(), "pairs")
-        met = written(components(true_links(docs, pairs, reps)), "components")
+        blocks = blocks_of(apart) if best is not None else blocks_of(apart).join(pairs.select(F.col("again").alias("block")), "block", "left_semi")
+        pairs = written(bitmap_pairs(blocks.join(bits, "class"), parts, best).distinct(), "pairs")
+        done += [apart, pairs]
+        met = written(components(true_links(docs, pairs.where("a is not null").drop("again"), reps)), "components")
         named = relabelled(named, met)
         if best is not None:
             apart = written(open_groups(relabelled(apart.drop("size"), met)), "open")
+    for t in done:
+        drop_written(t)
     return named
 
 
