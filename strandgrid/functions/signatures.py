@@ -7,7 +7,8 @@ tokens at once.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,11 +48,17 @@ def positions(words: list[str], bits: int) -> np.ndarray:
 def signature(column: Column, bits: int, mode: str = "words") -> Column:
     """array<int> of the set bits of a text's tokens; NULL for NULL.  Tokens are made by Spark, hashes in Arrow batches."""
 
-    @F.pandas_udf("array<int>")
-    def hashed(batch: pd.Series) -> pd.Series:
-        words = sorted({w for row in batch if row is not None for w in row})
-        at = dict(zip(words, positions(words, bits).astype(np.int32), strict=True))
-        return batch.map(lambda row: None if row is None else np.unique(np.concatenate([at[w] for w in row] or [np.zeros(0, np.int32)])))
+    @F.arrow_udf("array<int>")
+    def hashed(rows: pa.Array) -> pa.Array:
+        words = rows.flatten().dictionary_encode()
+        at = positions(words.dictionary.to_pylist(), bits).astype(np.int64)
+        size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(rows)), size)
+        # row and bit as one number: sorted and distinct at once
+        own = np.unique((row[:, None] * bits + at[words.indices.to_numpy(zero_copy_only=False)]).ravel()) if len(row) else np.zeros(0, np.int64)
+        offsets = np.searchsorted(own, np.arange(len(rows) + 1) * bits).astype(np.int32)
+        made = pa.ListArray.from_arrays(pa.array(offsets), pa.array((own % bits).astype(np.int32)))
+        return pc.if_else(rows.is_null(), pa.scalar(None, made.type), made)
 
     return hashed(tokens(column, mode))
 

@@ -33,33 +33,51 @@ def tokens(column: Column, mode: str = "words") -> Column:
     return F.array_union(plain, F.filter(parts, lambda x: x != ""))
 
 
-def has_all_words(column: Column, query: str, mode: str) -> Column:
-    """Every word of the query is a token of the text.  An empty query holds for all rows, a blank one for none."""
+def _quoted(word: str) -> str:
+    return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def _splits(word: str) -> bool:
+    return any(c in SEPARATORS for c in word)
+
+
+def _is_token(word: str, mode: str) -> str:
+    """A pattern that finds a text with ``word`` among its tokens: between white space, or (in full mode) a piece between
+    separators and spaces that is the word but for white space at its edges."""
+    w = _quoted(word)
+    plain = f"(?:\\A|[{SPACES}]){w}(?:\\z|[{SPACES}])"
+    if mode == "spaces" or _splits(word):
+        return plain
+    return f"{plain}|(?:\\A|{_SEPARATOR[:-1]})[{SPACES}]*{w}[{SPACES}]*(?:\\z|{_SEPARATOR[:-1]})"
+
+
+def _begins_token(word: str, mode: str) -> str:
+    """A pattern that finds a text with a token that ``word`` begins: after white space or (in full mode) a separator."""
+    before = f"[{SPACES}]" if mode == "spaces" or _splits(word) else f"[{SPACES}{_SEPARATOR[1:-2]}]"
+    return f"(?:\\A|{before}){_quoted(word)}"
+
+
+def _all_found(column: Column, query: str, mode: str, pattern) -> Column:
+    """An empty query holds for all rows, a blank one for none.  No token set is built: each word is one search of the
+    text, after a plain substring test that most rows fail."""
     if query == "":
         return F.lit(True)
     words = query_words(query)
     if not words:
         return F.lit(False)
-    # a cheap test first: a token is always a substring, so most rows need no tokenizing
-    inside = [F.contains(F.lower(column), F.lit(w)) for w in words]
-    held = tokens(column, mode)
-    # (the tokens are an expression of the row: evaluated once, however many words ask for it)
-    test = F.size(F.array_except(F.array(*[F.lit(w) for w in words]), held)) == 0
-    out = F.lit(True)
-    for c in inside:
-        out = out & c
-    return F.coalesce(out & test, F.lit(False))
+    low, out = F.lower(column), F.lit(True)
+    for w in words:
+        out = out & F.contains(low, F.lit(w))
+    for w in words:
+        out = out & F.rlike(low, F.lit(pattern(w, mode)))
+    return F.coalesce(out, F.lit(False))
+
+
+def has_all_words(column: Column, query: str, mode: str) -> Column:
+    """Every word of the query is a token of the text."""
+    return _all_found(column, query, mode, _is_token)
 
 
 def has_all_prefixes(column: Column, query: str, mode: str) -> Column:
     """Every word of the query begins a token of the text."""
-    if query == "":
-        return F.lit(True)
-    words = query_words(query)
-    if not words:
-        return F.lit(False)
-    out, held = F.lit(True), tokens(column, mode)
-    for w in words:
-        out = out & F.contains(F.lower(column), F.lit(w))
-    wanted = F.array(*[F.lit(w) for w in words])
-    return F.coalesce(out & F.forall(wanted, lambda w: F.exists(held, lambda t: F.startswith(t, w))), F.lit(False))
+    return _all_found(column, query, mode, _begins_token)

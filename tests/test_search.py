@@ -83,6 +83,19 @@ def test_tokens_match_the_rules(spark, values):
             assert set(got) == model(values[i], mode) and len(set(got)) == len(got)
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet="aB .\n\t@-\\E", max_size=12), min_size=1, max_size=25), st.text(alphabet="ab .@\\E", min_size=1, max_size=5))
+def test_searches_match_the_rules(spark, values, query):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    words = query.lower().split()
+    for mode in ("words", "spaces"):
+        sets = [model(v, mode) for v in values]
+        exact = {i for i, s in enumerate(sets) if words and all(w in s for w in words)}
+        begins = {i for i, s in enumerate(sets) if words and all(any(t.startswith(w) for t in s) for w in words)}
+        assert {r[0] for r in df.where(text.has_all_words(F.col("v"), query, mode)).select("i").collect()} == exact
+        assert {r[0] for r in df.where(text.has_all_prefixes(F.col("v"), query, mode)).select("i").collect()} == begins
+
+
 def test_signatures_find_a_superset(spark):
     values = [f"word{k % 7} common thing{k}" for k in range(300)]
     q = named(spark, *values)
@@ -100,6 +113,12 @@ def test_signatures_find_a_superset(spark):
         signatures.check_size(13, 1024)
 
 
+def test_signatures_of_rows(spark):
+    values = ["a b", None, "", "c", "a"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(values)), "i int, v string").repartition(1).orderBy("i").select(signatures.signature(F.col("v"), 64)).collect()]
+    assert got == [None if v is None else sorted({p for w in model(v, "words") for p in signatures.positions([w], 64)[0].tolist()}) for v in values]
+
+
 def test_signature_hashes():
     """By the hashes' published definitions, one character at a time."""
     for word in ("", "a", "test", "привет", "😀x"):
