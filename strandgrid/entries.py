@@ -17,6 +17,8 @@ from strandgrid.operators import aggregates as agg
 from strandgrid.plans.expr import field as f
 from strandgrid.plans.query import Query
 from strandgrid.plans.schema import TableSchema, default_of, evolved, shaped
+from strandgrid.sources.files import scratch
+from strandgrid.sources.store import Store
 from strandgrid.sources.tables import partition, shard_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -546,6 +548,12 @@ def partition_read(t, d):
     return partition(d("orders"), "o_orderstatus", "F", "o_orderkey").where(f("o_totalprice") > 200000.0).select("o_orderkey", "o_orderstatus")
 
 
+@query(f"SELECT (o_orderkey % {SHARDS} + 1)::INT AS Sid, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice, o_orderkey LIMIT 20")
+def dist_partition_read(t, d):
+    df = d("orders").withColumn("Sid", shard_of(F.col("o_orderkey"), SHARDS))
+    return partition(df, "o_orderstatus", "O", "o_orderkey", shard="Sid").order_by("o_totalprice").take(20).select("Sid", "o_orderkey", "o_totalprice")
+
+
 def dist(d, name: str) -> Query:
     df = d(name).withColumn("Sid", shard_of(F.col(KEYS[name]), SHARDS))
     return sharded(df, "Sid", KEYS[name], **KNOWN.get(name, {}))
@@ -586,3 +594,60 @@ def schema_evolution(t, d):
     schema = evolved(old.schema, new.schema)
     rows = reduce(DataFrame.unionByName, [shaped(x, schema) for x in (old, new)])
     return rows.withColumn("c_nationkey", F.coalesce("c_nationkey", default_of(schema["c_nationkey"].dataType)))
+
+
+# --- the store: writes and reads through versions -----------------------------------------------------------------
+
+
+def stored(df: DataFrame, key: str):
+    """A store in the shared folder with ``df`` as its table "t"."""
+    store = Store(df.sparkSession, scratch(df.sparkSession, "store"))
+    t = store.table("t").knowing(key=key)
+    t.save_batch(df)
+    return store, t
+
+
+def supplier(d) -> DataFrame:
+    return d("supplier").select((F.col("s_suppkey") + 1).alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+
+
+@query("""SELECT s_suppkey + 1 AS id, CASE s_suppkey WHEN 1 THEN NULL ELSE s_name END AS name, CASE s_suppkey WHEN 2 THEN 99 ELSE s_nationkey END::INT AS nation
+          FROM supplier WHERE s_suppkey NOT IN (3, 4) UNION ALL SELECT max(s_suppkey) + 2, 'new', 7 FROM supplier""")
+def store_save_update_delete(t, d):
+    _, table_ = stored(supplier(d), "id")
+    table_.update("name", {2: ""})
+    table_.update("nation", {3: 99, 10**9: 1})
+    table_.delete([4, 5, 10**9])
+    table_.save({"name": "new", "nation": 7})
+    return table_.dataframe()
+
+
+@query("""SELECT 't' AS tab, s_suppkey + 1 AS id, CASE s_suppkey WHEN 0 THEN 'x' ELSE s_name END AS name FROM supplier WHERE s_suppkey <> 5
+          UNION ALL SELECT 'u', n_nationkey + 1, n_name FROM nation""")
+def store_transaction(t, d):
+    store, a = stored(supplier(d), "id")
+    b = store.table("u").knowing(key="id")
+    with store.transaction() as tx:
+        tx.update(a, "name", {1: "x"})
+        tx.delete(a, [6])
+        tx.save_batch(b, d("nation").select((F.col("n_nationkey") + 1).cast("long").alias("id"), F.col("n_name").alias("name")))
+    return a.dataframe().select(F.lit("t").alias("tab"), "id", "name").unionByName(b.dataframe().select(F.lit("u").alias("tab"), "id", "name"))
+
+
+@query("SELECT s_suppkey + 1 AS id, s_name AS name, CASE s_suppkey WHEN 7 THEN s_nationkey + 3 ELSE s_nationkey END::INT AS nation FROM supplier")
+def store_increment_replicate(t, d):
+    store, table_ = stored(supplier(d), "id")
+    table_.atomic_increment(table_.query().where(f("id") == 8), {"nation": 3}, {})
+    copy = scratch(store.spark, "copy")
+    store.replicate(copy)
+    table_.delete([1, 2, 3])
+    return Store(store.spark, copy).table("t").dataframe()
+
+
+@query("SELECT s_suppkey + 1 AS id, s_name AS name FROM supplier WHERE s_nationkey % 2 = 1 AND s_suppkey > 10")
+def store_partition(t, d):
+    df = supplier(d)
+    store = Store(df.sparkSession, scratch(df.sparkSession, "store"))
+    for p in (0, 1):
+        store.partitioned_table("t", str(p)).knowing(key="id").save_batch(df.where(F.col("nation") % 2 == p))
+    return store.partitioned_table("t", "1").knowing(key="id").query().where(f("id") > 11).select("id", "name")

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which the driver and all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark.sparkContext._jvm

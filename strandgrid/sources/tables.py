@@ -15,9 +15,10 @@ def over(df: DataFrame, key: str = "Id", **known) -> Query:
     return Query(df, TableSchema(key=key, **known))
 
 
-def partition(df: DataFrame, column: str, value, key: str = "Id", **known) -> Query:
-    """One partition of a table stored with ``partitionBy(column)``: an equality on it, so other folders aren't read."""
-    return Query(df.where(F.col(column) == F.lit(value)), TableSchema(key=key, **known), reduced=True)
+def partition(df: DataFrame, column: str, value, key: str = "Id", shard: str | None = None, **known) -> Query:
+    """One partition of a table stored with ``partitionBy(column)``: an equality on it, so other folders aren't read.
+    ``shard``: the shard column of a table that is sharded as well."""
+    return Query(df.where(F.col(column) == F.lit(value)), TableSchema(key=key, **known), shard=shard, reduced=True)
 
 
 def sharded(df: DataFrame, shard: str = "Sid", key: str = "Id", **known) -> Query:
