@@ -12,7 +12,8 @@ anchors of one gram with each other finds every repeated window.  An anchor owns
 3. The intervals found are joined to the texts, merged and removed.
 
 Grams beyond HOT different surroundings go by window instead: each window is hashed whole and counted by the hash, so
-that no task holds all surroundings of one gram.
+that no task holds all surroundings of one gram.  A task that meets HOT / 16 of them sends them that way at once, and
+only a marker to where the gram's other anchors meet.
 
 Defined cases: null is the empty text; texts shorter than LENGTH lose nothing; a text that occurs in several rows is
 lost whole if it has LENGTH bytes; texts of any length are whole; repeated rows and ids count as rows of their own;
@@ -146,10 +147,14 @@ def found_rows(kind: int, text, size, a, b, c=None, gram=None) -> pa.RecordBatch
 
 _FOUND = "kind int, text long, size int, a int, b int, c int, gram long"
 INTERVAL, DETAIL, BY_WINDOW = 0, 1, 2
+#: In place of a size: the anchor only says that its gram is hot.
+MARK = -1
 
 
-def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, blob): ANCHOR rows by gram (bucket >= 0), and intervals already certain (bucket < 0), of ``docs``."""
+def packed_anchors(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """(bucket, blob) of ``docs``: ANCHOR rows by gram (bucket from 0), those of grams that are hot already (bucket from
+    ``buckets``), and intervals that are certain already (bucket below 0)."""
+    limit = max(1, hot // 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -167,7 +172,16 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             start, end = covered(rows[extra])
             sure = np.stack(merged(rows["text"][extra], rows["size"][extra].astype(np.int64), start, end), 1).astype(np.int64)
             rows = rows[~extra]
-            where = (rows["gram"] % np.uint64(buckets)).astype(np.int64)
+            gram, whole = rows["gram"], rows["whole"]
+            new_gram = np.append(True, gram[1:] != gram[:-1]) if len(rows) else np.zeros(0, bool)
+            new_whole = np.append(True, whole[1:] != whole[:-1]) | new_gram if len(rows) else new_gram
+            of_gram = np.cumsum(new_gram) - 1
+            crowded = np.bincount(of_gram[new_whole], minlength=1)[of_gram] > limit if len(rows) else new_gram
+            marks = rows[crowded & new_gram].copy()
+            marks["size"] = MARK
+            away = rows[crowded]
+            where = np.concatenate([(x % np.uint64(buckets)).astype(np.int64) + up for x, up in ((gram[~crowded], 0), (marks["gram"], 0), (away["whole"], buckets))])
+            rows = np.concatenate([rows[~crowded], marks, away])
             order = np.argsort(where, kind="stable")
             rows, where = rows[order], where[order]
             cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
@@ -196,15 +210,23 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("key", "size", "text").mapInArrow(run, "bucket int, blob binary")
 
 
-def compare_anchors(packed: DataFrame, hot: int) -> DataFrame:
+def compare_anchors(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
     """Intervals of anchors that are repeated whole, and the anchors to compare in detail or by window."""
 
     def run(t: pa.Table) -> pa.Table:
         blob = b"".join(t.column("blob").to_pylist())
-        if t.column("bucket")[0].as_py() < 0:
+        bucket = t.column("bucket")[0].as_py()
+        if bucket >= buckets:
+            x = np.unique(np.frombuffer(blob, ANCHOR))
+            return pa.Table.from_batches([found_rows(BY_WINDOW, x["text"], x["size"], x["at"], x["far"], x["near"], x["gram"])])
+        if bucket < 0:
             x = np.frombuffer(blob, np.int64).reshape(-1, 4)
             return pa.Table.from_batches([found_rows(INTERVAL, x[:, 0], x[:, 1], x[:, 2], x[:, 3])])
         rows = np.frombuffer(blob, ANCHOR)
+        marked = rows["size"] == MARK
+        hot_grams, rows = np.unique(rows["gram"][marked]), rows[~marked]
+        if not len(rows):
+            return pa.Table.from_batches([found_rows(INTERVAL, *[np.zeros(0, np.int64)] * 4)])
         order, place = groups(rows["gram"], rows["whole"], rows["text"], rows["size"], rows["at"])
         rows = rows[order][np.append(True, place[1:] != place[:-1])]  # copies of a text in several tasks
         gram, whole = rows["gram"], rows["whole"]
@@ -215,9 +237,10 @@ def compare_anchors(packed: DataFrame, hot: int) -> DataFrame:
         start, end = covered(rows[repeated])
         sure = merged(rows["text"][repeated], rows["size"][repeated].astype(np.int64), start, end)
         kinds = np.bincount(of_gram[new_whole])[of_gram]  # different surroundings of the gram
-        ask = new_whole & (kinds > 1)
+        elsewhere = np.isin(gram, hot_grams)
+        ask, by_window = new_whole & ((kinds > 1) | elsewhere), (kinds > hot) | elsewhere
         out = [found_rows(INTERVAL, *sure)]
-        for kind, own in ((DETAIL, ask & (kinds <= hot)), (BY_WINDOW, ask & (kinds > hot))):
+        for kind, own in ((DETAIL, ask & ~by_window), (BY_WINDOW, ask & by_window)):
             x = rows[own]
             out.append(found_rows(kind, x["text"], x["size"], x["at"], x["far"], x["near"], x["gram"]))
         # a whole that is repeated and compared: what is found for its first anchor holds for windows that all share
@@ -416,7 +439,7 @@ def repeated_intervals(docs: DataFrame, hot: int = HOT) -> DataFrame:
     held = docs.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
     density = 2 / (LENGTH - GRAM + 2)
     buckets = max(shuffle, int(held * density * ANCHOR.itemsize) // BUCKET_BYTES + 1)
-    found = written(compare_anchors(packed_anchors(docs, buckets), hot), "anchors")
+    found = written(compare_anchors(packed_anchors(docs, buckets, hot), buckets, hot), "anchors")
     number = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = found.where(F.col("kind") == INTERVAL).select("text", "size", "a", "b")
     if number.get(DETAIL):
