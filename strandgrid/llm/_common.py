@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +41,28 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def text_arrays(col) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and n+1 offsets into them; null counts as empty."""
+#: What operators keep in a Python worker from task to task: how to drop it.
+LASTING: dict[str, Callable[[], None]] = {}
+_kept = ""
+
+
+def make_room(keep: str = "") -> None:
+    """Drop what other operators left in this worker; ``keep`` names what the running one keeps itself."""
+    global _kept
+    if keep != _kept:
+        _kept = keep
+        for name, drop in LASTING.items():
+            if name != keep:
+                drop()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
     pa.default_memory_pool().release_unused()  # of the batches before
+
+
+def text_arrays(col, keep: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a string column and n+1 offsets into them; null counts as empty.  ``keep``: see make_room."""
+    make_room(keep)
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     col = pc.fill_null(col, "").cast(pa.large_string())
     n, at = len(col), col.offset

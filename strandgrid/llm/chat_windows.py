@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgrid.llm._common import table
+from strandgrid.llm._common import make_room, table
 from strandgrid.llm.bpe import default_path
 from strandgrid.llm.token_counts import counter
 
@@ -137,6 +137,7 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, histo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Windows | None = None
+        make_room("counts")
         count = counter(tokenizer).count
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):

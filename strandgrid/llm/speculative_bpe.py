@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandgrid.llm._common import id_text, row_blocks, table, text_arrays
+from strandgrid.llm._common import LASTING, id_text, row_blocks, table, text_arrays
 from strandgrid.llm.bpe import PairTable, default_path, load
 
 #: Encodings that a worker remembers; all are dropped beyond this.
@@ -174,12 +174,20 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def forget() -> None:
+    codec.cache_clear()
+    load.cache_clear()
+
+
+LASTING["codec"] = forget
+
+
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers), decoded (string) of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = text_arrays(batch.column(1))
+            _, offsets = text_arrays(batch.column(1), "codec")
             own = codec(tokenizer)
             for i, j in row_blocks(offsets):
                 ids = own.encode_block([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])

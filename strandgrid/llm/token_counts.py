@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from strandgrid.llm._common import id_text, row_blocks, table, text_arrays
+from strandgrid.llm._common import LASTING, id_text, row_blocks, table, text_arrays
 from strandgrid.llm.bpe import Merges, PairTable, default_path, load
 
 OVER = 512
@@ -283,12 +283,15 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+LASTING["counts"] = counter.cache_clear
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, over: int = OVER) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > over) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_arrays(batch.column(1))
+            data, offsets = text_arrays(batch.column(1), "counts")
             count = counter(tokenizer).count
             tokens = [count(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in row_blocks(offsets)]
             tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
