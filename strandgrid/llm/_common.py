@@ -55,9 +55,10 @@ def make_room(keep: str = "") -> None:
             if name != keep:
                 drop()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
-    pa.default_memory_pool().release_unused()  # of the batches before
+    # of the batches before
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_arrays(col, keep: str = "") -> tuple[np.ndarray, np.ndarray]:
