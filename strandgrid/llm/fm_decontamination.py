@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from strandgrid.llm._common import id_text, row_blocks, table, text_arrays
 
@@ -213,6 +214,17 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def with_earlier(spans: list[list[tuple[int, int]]], found: list[set[int]], old_spans: pa.Array, old_items: pa.Array) -> tuple[list[list[tuple[int, int]]], list[set[int]]]:
+    """Spans and items of each text together with those of the passes before."""
+    spans = [merge_spans(s + [(x["first"], x["after"]) for x in o]) for s, o in zip(spans, old_spans.to_pylist(), strict=True)]
+    return spans, [x.union(o) for x, o in zip(found, old_items.to_pylist(), strict=True)]
+
+
+def hit_columns(spans: list[list[tuple[int, int]]], found: list[set[int]]) -> tuple[pa.Array, pa.Array]:
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
+    return pa.array([[{"first": a, "after": b} for a, b in s] for s in spans], kind), pa.array([sorted(x) for x in found], pa.list_(pa.int64()))
+
+
 def find_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: int = WINDOW, keep_text: bool = False, earlier: bool = False) -> DataFrame:
     """doc_id, n_words, spans of hit words, item_ids (and text) of every row of ``docs`` (doc_id, text).
 
@@ -223,7 +235,6 @@ def find_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(held.value, window)
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
         for batch in batches:
             data, offsets = text_arrays(batch.column("text"))
             raw = data.tobytes()
@@ -232,10 +243,9 @@ def find_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: i
                 spans = [[tuple(x) for x in s.tolist()] for s in spans]
                 if earlier:
                     old = batch.slice(i, j - i)
-                    spans = [merge_spans(s + [(x["first"], x["after"]) for x in o]) for s, o in zip(spans, old.column("spans").to_pylist(), strict=True)]
-                    found = [x.union(o) for x, o in zip(found, old.column("item_ids").to_pylist(), strict=True)]
-                spans = [[{"first": a, "after": b} for a, b in s] for s in spans]
-                out = {"doc_id": batch.column("doc_id").slice(i, j - i), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, kind), "item_ids": pa.array([sorted(x) for x in found], pa.list_(pa.int64()))}
+                    spans, found = with_earlier(spans, found, old.column("spans"), old.column("item_ids"))
+                spans, found = hit_columns(spans, found)
+                out = {"doc_id": batch.column("doc_id").slice(i, j - i), "n_words": pa.array(counts, pa.int64()), "spans": spans, "item_ids": found}
                 yield pa.record_batch(out | ({"text": batch.column("text").slice(i, j - i)} if keep_text else {}))
 
     rows = docs if earlier else id_text(docs)
@@ -250,16 +260,26 @@ def word_places(text: bytes) -> np.ndarray:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = CONTAMINATED) -> DataFrame:
     """The rows and columns of ``docs`` without its contaminated rows (windows of ``limit`` items or more) and, in the
-    others, without the words of benchmark windows (n_chars, if there, counted anew).  Clean rows stay as they are."""
-    for items in benchmark_passes(benchmark):
-        docs = _cut_leaks(docs, items, window, limit)
-    return docs
+    others, without the words of benchmark windows (n_chars, if there, counted anew).  Clean rows stay as they are.
+
+    All passes search the uncut texts; their hits travel with the rows, and the last pass drops and cuts.
+    """
+    passes = benchmark_passes(benchmark)
+    rows = docs
+    for k, items in enumerate(passes):
+        rows = _pass_over(rows, docs, items, window, limit, earlier=k > 0, last=k == len(passes) - 1)
+    return rows
 
 
-def _cut_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: int, limit: int) -> DataFrame:
+def _pass_over(rows: DataFrame, docs: DataFrame, items: list[tuple[int | None, bytes]], window: int, limit: int, earlier: bool, last: bool) -> DataFrame:
+    """One pass of without_leaks.  Before the last, the rows get two more columns: spans and items of the passes so far."""
     held = docs.sparkSession.sparkContext.broadcast(items)
+    width = len(docs.columns)
     place = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = ["spans", "item_ids"]
+    while {x.lower() for x in docs.columns}.intersection(names):  # other columns may have these names
+        names = ["_" + x for x in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(held.value, window)
@@ -270,12 +290,19 @@ def _cut_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: i
                 texts = part.column(place).to_pylist()
                 raw = [(t or "").encode() for t in texts]
                 _, spans, found = document_hits(phrases, raw)
+                spans = [[tuple(x) for x in s.tolist()] for s in spans]
+                if earlier:
+                    spans, found = with_earlier(spans, found, part.column(width), part.column(width + 1))
+                    part = part.select(list(range(width)))
+                if not last:
+                    yield pa.record_batch([*part.columns, *hit_columns(spans, found)], [*part.schema.names, *names])
+                    continue
                 sizes = part.column(count).to_pylist() if count is not None else None
                 for k, own in enumerate(spans):
-                    if not len(own):
+                    if not own:
                         continue
                     at, kept, places = 0, [], word_places(raw[k])
-                    for a, b in own.tolist():
+                    for a, b in own:
                         kept.append(raw[k][at : places[a, 0]])
                         at = int(places[b - 1, 1])
                     texts[k] = (b"".join(kept) + raw[k][at:]).decode()
@@ -286,7 +313,11 @@ def _cut_leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], window: i
                     part = part.set_column(count, part.schema.field(count), pa.array(sizes, part.schema.field(count).type))
                 yield part.filter(pa.array([len(x) < limit for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    if last:
+        return rows.mapInArrow(run, docs.schema)
+    span = StructType().add("first", LongType()).add("after", LongType())
+    hits = StructType().add(names[0], ArrayType(span)).add(names[1], ArrayType(LongType()))
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, *hits.fields]))
 
 
 def benchmark_passes(benchmark: DataFrame, key: str = "item_id", most: int = PASS_BYTES) -> list[list[tuple[int | None, bytes]]]:

@@ -70,6 +70,24 @@ def test_leaks_are_cut(spark):
     assert df.columns == documents(spark, texts).columns
 
 
+def test_passes_cut_as_one(spark, monkeypatch):
+    items = [(1, "one two three"), (2, "three four x y z w v"), (3, "p q"), (4, "alpha beta gamma delta epsilon"), (4, "omega psi chi")]
+    texts = ["i one two three j three four x y z w v k", "i one two three four x y z w v k", "p One, two three. q", "alpha beta gamma delta epsilon / omega psi chi end", "clean", None, ""]
+    docs = documents(spark, texts)
+    got = {}
+    for limit in (2, 3):
+        for most in (fm_decontamination.PASS_BYTES, 30):
+            monkeypatch.setattr(fm_decontamination.benchmark_passes, "__defaults__", ("item_id", most))
+            assert len(fm_decontamination.benchmark_passes(bench(spark, items))) == (1 if most > 30 else 4)
+            df = fm_decontamination.without_leaks(docs, bench(spark, items), limit=limit)
+            assert df.schema.simpleString() == docs.schema.simpleString()
+            got[limit, most] = sorted(map(tuple, df.collect()))
+        assert got[limit, 30] == got[limit, fm_decontamination.PASS_BYTES]
+    cut = {r[0]: r[1] for r in got[2, 30]}
+    assert cut == {2: "p . q", 3: " end", 4: "clean", 5: None, 6: ""}
+    assert {r[0]: r[1] for r in got[3, 30]} == cut | {0: "i  j  k", 1: "i  k"}
+
+
 # 5
 
 
