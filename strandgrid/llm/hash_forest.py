@@ -7,12 +7,12 @@ vectors.  The candidates' distances are exact.
 
 Vectors are indexed in blocks of BLOCK rows, the queries are searched in blocks of QUERIES rows against every index
 block, and the best k of each index block are merged; so no task or broadcast grows with the input.  Equal vectors are
-one entry of a block with their k smallest ids, so a vector that is very common costs no more than another.
+one entry of a block with their k + 1 smallest distinct ids, so a vector that is very common costs no more than another.
 
 Defined cases: vectors that are null, zero, or hold a null or a number that isn't finite take no part; vectors of
-another dimension than the query's are no candidates for it; rows without an id take no part; a repeated id stands for
-each of its rows, and no row of the query's own id is its candidate; fewer candidates than k give fewer rows; an empty
-table gives no rows.
+another dimension than the query's are no candidates for it; rows without an id take no part; each row of a repeated id
+is a candidate, but the id takes one place, with the smallest distance of its rows to those of the query's id; no row of
+the query's own id is its candidate; fewer candidate ids than k give fewer rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ class Forest:
         order = np.lexsort((ids, *vectors.T[::-1]))
         ids, vectors = ids[order], vectors[order]
         new = np.append(True, (vectors[1:] != vectors[:-1]).any(axis=1))
+        fresh = new | np.append(True, ids[1:] != ids[:-1])  # not a repeated row
+        ids, vectors, new = ids[fresh], vectors[fresh], new[fresh]
         first = np.flatnonzero(new)
         many = np.diff(np.append(first, len(ids)))
         self.vectors = vectors[first]
@@ -92,7 +94,8 @@ class Forest:
         for x in np.argsort(distance, kind="stable").tolist():
             if len(out) >= k and distance[x] > out[-1][0]:
                 break
-            out += [(float(distance[x]), int(i)) for i in self.ids[at[x]] if i != own]
+            held = {own, *(i for _, i in out)}
+            out += [(float(distance[x]), int(i)) for i in self.ids[at[x]] if int(i) not in held]
             out.sort()
             del out[k:]
         return [(i, d) for d, i in out]
@@ -157,7 +160,8 @@ def nearest_neighbours(index: DataFrame, queries: DataFrame, k: int = K, most: i
     if best is None:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

@@ -188,6 +188,30 @@ def test_neighbours_of_odd_vectors(spark, tmp_path):
     assert QUERIES["op8_hash_prefix_forest"](spark, empty).collect() == []
 
 
+@pytest.mark.parametrize("block", [hash_forest.BLOCK, 100])
+def test_repeated_rows_take_one_place(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(hash_forest.search_block, "__defaults__", (block,))
+    monkeypatch.setattr(hash_forest, "SHARE", 1.0)
+    rng = np.random.default_rng(1)
+    once = [(i, rng.standard_normal(6).astype(np.float32).tolist()) for i in range(201)]
+    other = [(i, rng.standard_normal(6).astype(np.float32).tolist()) for i in (7, 8, 9, 100)]  # ids of two vectors
+    same = [(i, once[0][1]) for i in range(300, 315)]
+    rows = once * 2 + other + same + [same[3]] * 30 + [once[0]] * 30 + [once[5]] * 12
+    held = defaultdict(list)
+    for i, v in rows:
+        held[i].append(np.array(v, float))
+    gap = lambda a, b: min(float(np.sqrt(((x - y) ** 2).sum())) for x in held[a] for y in held[b])
+    sf = saved(spark, tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = defaultdict(list)
+    for r in QUERIES["op8_hash_prefix_forest"](spark, sf).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert got.keys() == {0, 100, 200, 300}
+    for q, near in got.items():
+        want = sorted((gap(q, i), i) for i in held if i != q)[:10]
+        assert [(n, i) for n, i, _ in near] == [(n, i) for n, (_, i) in enumerate(want, 1)]
+        assert np.allclose([d for _, _, d in near], [d for d, _ in want], atol=1e-12)
+
+
 @pytest.mark.parametrize("block,queries", [(None, None), (700, 7)])
 def test_recall(spark, monkeypatch, block, queries):
     if block:
