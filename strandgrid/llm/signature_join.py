@@ -341,7 +341,7 @@ def first_links(docs: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
     The roots of a split block meet again in ever fewer parts, until one part holds them or nothing links any more.
     """
     level, now = 0, reps
-    made = new = written(linked_in_parts(docs, now, buckets, level), "roots")
+    made = new = linked_in_parts(docs, now, buckets, level)
     while True:
         large = now.groupBy("least").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK)
         heads = written(now.join(large.select("least"), "least", "left_semi").join(new.select("class"), "class", "left_anti").select(now.columns), "heads")
@@ -349,7 +349,7 @@ def first_links(docs: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
         if after in (0, before):
             return made
         level, now = level + 1, heads
-        new = written(linked_in_parts(docs, now, buckets, level), "roots")
+        new = linked_in_parts(docs, now, buckets, level)
         step = new.select(F.col("class").alias("root"), F.col("root").alias("further"))
         made = written(made.join(step, "root", "left").select("class", F.coalesce("further", "root").alias("root")).unionByName(new), "roots")
 
@@ -357,8 +357,9 @@ def first_links(docs: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
 def linked_in_parts(docs: DataFrame, reps: DataFrame, buckets: int, level: int) -> DataFrame:
     """class, root within the blocks of equal smallest shingles, or within hash parts of those beyond BLOCK classes."""
     shared = reps.groupBy("least").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    own = reps.join(shared, "least").select("doc_id")
-    rows = whole_sets(docs, id_filter(own)).join(shared, "least")
+    own = written(reps.join(shared, "least").select("class", "doc_id", "members"), "asked")
+    # an id that passes may be another class's: shared, missing, or alike in its hash
+    rows = whole_sets(docs, id_filter(own.select("doc_id"))).join(own.select("class", "members"), "class")
     part = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("class", F.lit(level)), (F.col("members") / BLOCK).cast("long") + 1)).otherwise(F.lit(0))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("least", part), F.lit(buckets)).cast("int")).withColumn("part", part)
 
@@ -378,7 +379,9 @@ def linked_in_parts(docs: DataFrame, reps: DataFrame, buckets: int, level: int)
                         roots.append(int(cls[at[r]]))
         return pa.table({"class": pa.array(out, pa.int64()), "root": pa.array(roots, pa.int64())})
 
-    return rows.select("bucket", "least", "part", "class", "set").groupBy("bucket").applyInArrow(run, "class long, root long")
+    made = written(rows.select("bucket", "least", "part", "class", "set").groupBy("bucket").applyInArrow(run, "class long, root long"), "roots")
+    drop_written(own)
+    return made
 
 
 def shared_prefixes(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:

@@ -218,6 +218,27 @@ def test_links(spark, monkeypatch, block, wide, best, often):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_large_blocks_give_each_row_once(spark, monkeypatch):
+    monkeypatch.setattr(signature_join, "BLOCK", 4)
+    rng = random.Random(8)
+    rows = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(400)}" for _ in range(120)]
+        for k in range(60):
+            t = list(base)
+            for _ in range(rng.choice([1, 2, 6, 9])):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(400)}"
+            rows.append(([None, 5, k][k % 3], " ".join(t)))
+    levels, whole = [], signature_join.linked_in_parts
+    monkeypatch.setattr(signature_join, "linked_in_parts", lambda docs, reps, buckets, level: levels.append(level) or whole(docs, reps, buckets, level))
+    firsts, first = [], signature_join.first_links
+    monkeypatch.setattr(signature_join, "first_links", lambda *a: firsts.append(first(*a)) or firsts[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in signature_join.link_components(df).collect()), key=str)
+    assert max(levels) > 0 and firsts[0].count() == firsts[0].select("class").distinct().count()
+    assert got == sorted([(i, n, c) for (i, _), (n, c) in zip(rows, link_components(rows), strict=True)], key=str)
+
+
 def test_link_edges(spark, tmp_path):
     t = "a b c d e f g h i j k l m n o p"
     rows = [(3, t), (3, t), (None, t), (7, t.upper()), (None, "q r s t u v"), (None, "q r s t u v"), (9, None), (9, ""), (11, "x y"), (12, "X  y")]
