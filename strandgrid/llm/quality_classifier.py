@@ -6,7 +6,8 @@ learned vectors.  Training is plain stochastic gradient descent in numpy on a bo
 The output is linear in the average, so a trained model folds to one number a bucket, and a score is a mean of numbers.
 
 Defined cases: null, empty and word-free texts have no features and get the score of the bias alone; label rows with a
-null id or label are not learned from; several labels of one id count each; texts of any length are whole; repeated
+null id or label are not learned from; several labels of one id count each, and all with the same one of the id's texts
+(that of the smallest hash); texts of any length are whole; repeated
 rows repeat; without both labels in the sample every score is the share of label 1 (0.5 without labels); an empty table
 gives no rows.
 """
@@ -153,9 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     own = own.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)  # bounded: may be broadcast
-    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").toPandas()
+    chosen = chosen.groupBy("doc_id").agg(F.collect_list("quality").alias("qualities"))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")  # of the rows of an id
+    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one, F.first("qualities").alias("qualities"))
+    rows = rows.select("doc_id", "one.text", F.explode("qualities").alias("quality")).toPandas()
     rows["order"] = [zlib.crc32(str(d).encode()) for d in rows["doc_id"]]
-    rows = rows.sort_values(["order", "doc_id", "quality", "text"]).head(most)
+    rows = rows.sort_values(["order", "doc_id", "quality"])
     return train(rows["text"].tolist(), rows["quality"].tolist())
 
 

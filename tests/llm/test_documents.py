@@ -180,6 +180,19 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert (a.weight == b.weight).all() and a.bias == b.bias
 
 
+def test_repeated_documents_displace_no_label(spark, monkeypatch):
+    ids = [d for d in range(60) if zlib.crc32(str(d).encode()) % 5]
+    many = min(ids, key=lambda d: zlib.crc32(str(d).encode()))
+    rows = [(d, "good text here" if d % 2 else "BAD!! TEXT!!") for d in ids]
+    labels = spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "train", lambda texts, labels: seen.append((texts, labels)))
+    for more in ([], [(many, dict(rows)[many])] * 200, [(many, f"another text {k}") for k in range(200)]):
+        quality_classifier.fit(spark.createDataFrame(rows + more, "doc_id long, text string").repartition(3), labels, 50)
+    assert len(seen[0][0]) == len(ids) <= 50 and seen[1] == seen[0]
+    assert seen[2][1] == seen[0][1] and seen[2][0][1:] == seen[0][0][1:]
+
+
 # 10
 
 
