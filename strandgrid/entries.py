@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandgrid import over, sharded
 from strandgrid.functions import signatures, text
@@ -18,8 +20,10 @@ from strandgrid.plans.expr import field as f
 from strandgrid.plans.query import Query
 from strandgrid.plans.schema import TableSchema, default_of, evolved, shaped
 from strandgrid.sources.files import scratch
+from strandgrid.sources.queues import Queues
 from strandgrid.sources.store import Store
-from strandgrid.sources.tables import partition, shard_of
+from strandgrid.sources.tables import partition, place, shard_of
+from strandgrid.streaming.sinks import save_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -148,9 +152,9 @@ def empty_string_is_null(t, d):
     return over(df, "c_custkey").where(f("seg") == "").select("c_custkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderkey < 5000 AND lower(o_orderstatus) = 'o'")
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderdate < TIMESTAMP '1996-01-01' AND lower(o_orderstatus) = 'o'")
 def multiple_where(t, d):
-    return t("orders").where(f("o_totalprice") > 100000.0).where(f("o_orderkey") < 5000).where(f("o_orderstatus") == "o").get_ids()
+    return t("orders").where(f("o_totalprice") > 100000.0).where(f("o_orderdate") < dt.datetime(1996, 1, 1)).where(f("o_orderstatus") == "o").get_ids()
 
 
 # --- between ------------------------------------------------------------------------------------------------------
@@ -176,9 +180,9 @@ def between_negative(t, d):
     return t("customer").between("c_acctbal", -500.0, -10.5).select("c_custkey", "c_acctbal")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000 AND o_custkey > 100 AND o_custkey <= 700")
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000 AND o_orderdate > TIMESTAMP '1994-05-01' AND o_orderdate <= TIMESTAMP '1997-05-01'")
 def multiple_between(t, d):
-    return t("orders").between("o_totalprice", 1000.0, 200000.0).between("o_custkey", 100, 700, "to_inclusive").get_ids()
+    return t("orders").between("o_totalprice", 1000.0, 200000.0).between("o_orderdate", dt.datetime(1994, 5, 1), dt.datetime(1997, 5, 1), "to_inclusive").get_ids()
 
 
 # --- membership ---------------------------------------------------------------------------------------------------
@@ -217,9 +221,9 @@ def multiple_intersect(t, d):
 # --- or -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey FROM orders WHERE (o_totalprice > 300000 OR o_custkey = 7) AND o_orderkey > 100")
+@query("SELECT o_orderkey FROM orders WHERE (o_totalprice > 300000 OR o_custkey = 7) AND o_orderstatus = 'O'")
 def or_run(t, d):
-    return t("orders").where(f("o_totalprice") > 300000.0).or_().where(f("o_custkey") == 7).where(f("o_orderkey") > 100).get_ids()
+    return t("orders").where(f("o_totalprice") > 300000.0).or_().where(f("o_custkey") == 7).where(f("o_orderstatus") == "O").get_ids()
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey = 1 OR o_custkey = 2 OR o_custkey = 3")
@@ -252,9 +256,9 @@ def order_string(t, d):
     return t("part").order_by("p_name").take(40).select("p_partkey", "p_name")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey < 1000 ORDER BY o_totalprice NULLS FIRST, o_orderkey LIMIT 25 OFFSET 100")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_totalprice NULLS FIRST, o_orderkey LIMIT 25 OFFSET 100")
 def order_skip_take(t, d):
-    return t("orders").where(f("o_custkey") < 1000).order_by("o_totalprice").take(25).skip(100).select("o_orderkey", "o_totalprice")
+    return t("orders").where(f("o_orderstatus") != "F").order_by("o_totalprice").take(25).skip(100).select("o_orderkey", "o_totalprice")
 
 
 @query(f"SELECT c_custkey, nat FROM ({NULLED}) ORDER BY nat NULLS FIRST, c_custkey LIMIT 120")
@@ -305,9 +309,9 @@ def get_ids_flag(t, d):
     return t("orders").where(f("o_totalprice") > 0.0).all_ids()
 
 
-@query("SELECT count(*) AS total, 100 AS searched_percentile FROM orders WHERE o_custkey < 500")
+@query("SELECT count(*) AS total, 100 AS searched_percentile FROM orders WHERE o_totalprice < 250000")
 def total_statistics(t, d):
-    return t("orders").where(f("o_custkey") < 500).order_by("o_totalprice").take(5).statistics()
+    return t("orders").where(f("o_totalprice") < 250000.0).order_by("o_totalprice").take(5).statistics()
 
 
 # --- groups -------------------------------------------------------------------------------------------------------
@@ -408,9 +412,16 @@ def search_partial(t, d):
     return t("documents").search_partial("text", "ther WH").get_ids()
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id >= 0 AND doc_id < 1000 AND " + all_words_sql("text", "und die"))
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey >= 3000 AND o_orderkey < 8000 AND " + all_words_sql("o_orderpriority", "urgent"))
 def search_steps(t, d):
-    return t("documents").search("text", "und die", 0, 1).get_ids()
+    q = over(d("orders"), "o_orderkey", search={"o_orderpriority": "words"})
+    return q.search("o_orderpriority", "Urgent", 3, 5).get_ids()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey >= 2000 AND o_orderkey < 11000 AND o_orderpriority ILIKE '%not%spec%'")
+def search_partial_steps(t, d):
+    q = over(d("orders"), "o_orderkey", search={"o_orderpriority": "words"})
+    return q.search_partial("o_orderpriority", "no SPECI", 2, 9).get_ids()
 
 
 @query(f"SELECT doc_id FROM documents WHERE ({all_words_sql('text', 'with this')}) OR ({all_words_sql('text', 'la y')})")
@@ -428,29 +439,61 @@ def last_step(t, d):
     return t("documents").last_step()
 
 
-@query()
+#: The signatures' hashes of every distinct token, over UTF-16 code units, and the bits of each document.
+_UNITS = "flatten(list_transform(string_split(token, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)] ELSE [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] END))::UHUGEINT[]"
+_WRAP = "18446744073709551616::UHUGEINT"
+_BITS = f"""tokens AS (SELECT doc_id, unnest({tokens_sql("text")}) AS token FROM documents),
+hashes AS (SELECT token, [list_reduce(u, lambda h, c: (xor(h, c) * {signatures.FNV_PRIME}) % 4294967296::UHUGEINT, {signatures.FNV_BASIS}::UHUGEINT),
+                          list_reduce(u, lambda h, c: (h * {signatures.DJB2_FACTOR} + c) % {_WRAP}, {signatures.DJB2_BASIS}::UHUGEINT),
+                          list_reduce(u, lambda h, c: (c + h * {signatures.SDBM_FACTOR}) % {_WRAP}, 0::UHUGEINT)] AS h
+           FROM (SELECT token, {_UNITS} AS u FROM (SELECT DISTINCT token FROM tokens))),
+bits AS (SELECT DISTINCT doc_id, b FROM (SELECT doc_id, unnest(list_transform(h, lambda x: (x % BITS)::BIGINT)) AS b FROM tokens JOIN hashes USING (token)))"""
+
+
+def _bits_sql(bits: int) -> str:
+    return _BITS.replace("BITS", str(bits))
+
+
+def _positions_sql(words: str, bits: int) -> str:
+    return ", ".join(str(b) for b in sorted({int(b) for b in signatures.positions(words.split(), bits).ravel()}))
+
+
+def _found_sql(words: str, bits: int) -> str:
+    own = _positions_sql(words, bits)
+    return f"SELECT doc_id FROM bits WHERE b IN ({own}) GROUP BY doc_id HAVING count(*) = {own.count(',') + 1}"
+
+
+@query(f"WITH {_bits_sql(1024)} {_found_sql('with that', 1024)}")
 def search_bitfunnel(t, d):
     q = t("documents")
-    return Query(q.source, q.schema, signature_index=("text", 1024)).search_bitfunnel("text", "with that").get_ids()
+    return Query(q.source, q.schema, signature_index=("text", 1024)).search_bitfunnel("text", "With that").get_ids()
+
+
+@query(f"""WITH {_bits_sql(512)}, found AS ({_found_sql("with", 512)}),
+sizes AS (SELECT doc_id // 1024 AS batch, count(*) AS n FROM found GROUP BY 1)
+SELECT doc_id FROM found WHERE (SELECT coalesce(sum(n), 0) FROM sizes WHERE batch < doc_id // 1024) < 50""")
+def search_bitfunnel_stop_count(t, d):
+    q = t("documents")
+    return Query(q.source, q.schema, signature_index=("text", 512)).search_bitfunnel("text", "with", stop_count=50).get_ids()
 
 
-@query()
+@query("SELECT doc_id, 100 AS searched_percentile FROM documents WHERE " + all_words_sql("text", "with that"))
 def search_time_limited(t, d):
     found, percent = t("documents").search_time_limited("text", "with that", 60_000)
     return found.get_ids().withColumn("searched_percentile", F.lit(percent))
 
 
-@query()
+@query(f"WITH {_bits_sql(1024)} SELECT round((SELECT count(*) FROM bits) / 1024.0 / (SELECT count(*) FROM documents WHERE text IS NOT NULL), 9) AS ratio")
 def bitfunnel_ratio(t, d):
-    signature = signatures.signature(F.col("text"), 1024)
-    return d("documents").select((F.size(signature) / F.lit(1024)).alias("r")).agg(F.avg("r").alias("ratio"))
+    share = signatures.share_of_bits(signatures.signature(F.col("text"), 1024), 1024)
+    return d("documents").agg(F.round(F.avg(share), 9).alias("ratio"))
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------
 
 PROBE = [round(0.01 * ((7 * k) % 23 - 11), 2) for k in range(64)]
 _PROBE = "[" + ", ".join(f"{x}::FLOAT" for x in PROBE) + "]"
-_DISTANCE = f"list_sum(list_transform(list_zip(embedding, {_PROBE}), lambda p: (p[1] - p[2])::DOUBLE * (p[1] - p[2])::DOUBLE))"
+_DISTANCE = f"list_sum(list_transform(list_zip(embedding, {_PROBE}), lambda p: (p[1] - p[2])::DOUBLE * (p[1] - p[2])::DOUBLE))::FLOAT::DOUBLE"
 
 
 @query(f"SELECT vec_id FROM embeddings ORDER BY {_DISTANCE}, vec_id LIMIT 10")
@@ -468,9 +511,9 @@ def knn_or_where(t, d):
     return t("embeddings").search_neighbours("embedding", PROBE, 12).or_().where(f("label") == 7).select("vec_id", "label")
 
 
-@query(f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings ORDER BY {_DISTANCE}, vec_id LIMIT 15")
+@query(f"SELECT vec_id, {_DISTANCE} AS distance FROM embeddings ORDER BY {_DISTANCE}, vec_id LIMIT 15")
 def knn_statistics(t, d):
-    return t("embeddings").search_neighbours("embedding", PROBE, 15).distances().withColumn("distance", F.round("distance", 6))
+    return t("embeddings").search_neighbours("embedding", PROBE, 15).distances()
 
 
 @query(f"""SELECT (vec_id % {SHARDS} + 1)::INT AS Sid, vec_id FROM embeddings
@@ -479,9 +522,10 @@ def dist_knn_per_shard(t, d):
     return dist(d, "embeddings").search_neighbours("embedding", PROBE, 5).get_ids()
 
 
-@query(f"SELECT vec_id, round(sqrt({_DISTANCE}), 6) AS l2 FROM embeddings")
+@query(f"SELECT vec_id, {_DISTANCE} AS squared, round(sqrt({_DISTANCE}), 6) AS l2 FROM embeddings")
 def vector_distance(t, d):
-    return d("embeddings").select("vec_id", F.round(F.sqrt(squared_distance(F.col("embedding"), PROBE)), 6).alias("l2"))
+    squared = squared_distance(F.col("embedding"), PROBE)
+    return d("embeddings").select("vec_id", squared.alias("squared"), F.round(F.sqrt(squared), 6).alias("l2"))
 
 
 # --- writes, as rows before to rows after -------------------------------------------------------------------------
@@ -507,11 +551,11 @@ def delete_ids(t, d):
 
 
 @query("""SELECT c_custkey + 1 AS c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'changed' ELSE c_name END AS c_name FROM customer
-          UNION ALL SELECT (SELECT max(c_custkey) + 1 FROM customer) + row_number() OVER (ORDER BY s_suppkey), s_name FROM supplier WHERE s_suppkey < 20""")
+          UNION ALL SELECT (SELECT max(c_custkey) + 1 FROM customer) + row_number() OVER (ORDER BY s_suppkey), s_name FROM supplier""")
 def save_upsert(t, d):
     before = d("customer").select((F.col("c_custkey") + 1).alias("c_custkey"), "c_name")
     old = before.where("(c_custkey - 1) % 10 = 0").select("c_custkey", F.lit("changed").alias("c_name"), F.col("c_custkey").alias("_position"))
-    new = d("supplier").where("s_suppkey < 20").select(F.lit(0).cast("long").alias("c_custkey"), F.col("s_name").alias("c_name"), (F.col("s_suppkey") + 10**6).alias("_position"))
+    new = d("supplier").select(F.lit(0).cast("long").alias("c_custkey"), F.col("s_name").alias("c_name"), (F.col("s_suppkey") + 10**6).alias("_position"))
     return writes.saved(before, old.unionByName(new), TableSchema("c_custkey"))
 
 
@@ -651,3 +695,187 @@ def store_partition(t, d):
     for p in (0, 1):
         store.partitioned_table("t", str(p)).knowing(key="id").save_batch(df.where(F.col("nation") % 2 == p))
     return store.partitioned_table("t", "1").knowing(key="id").query().where(f("id") > 11).select("id", "name")
+
+
+def nations(d) -> list[dict]:
+    """The smallest table as dictionaries, for calls that take rows from the driver."""
+    return [{"id": r["n_nationkey"] + 1, "name": r["n_name"], "region": r["n_regionkey"]} for r in d("nation").orderBy("n_nationkey").collect()]
+
+
+NATION = "id int, name string, region int"
+
+
+def stored_nations(d, size: int = 10):
+    store = Store(d("nation").sparkSession, scratch(d("nation").sparkSession, "store"))
+    t = store.table("n").knowing(key="id", search={"name": "words"})
+    t.save_in_batches(nations(d), size, T.StructType.fromDDL(NATION))
+    return store, t
+
+
+@query("SELECT n_nationkey + 1 AS id, n_name AS name, n_regionkey AS region FROM nation")
+def store_save_in_batches(t, d):
+    return stored_nations(d, 7)[1].dataframe()
+
+
+@query("SELECT n_nationkey + 1 AS id, CASE WHEN n_regionkey = 2 THEN n_name ELSE 'nation ' || n_nationkey END AS name FROM nation")
+def store_update_in_batches(t, d):
+    _, table_ = stored_nations(d)
+    table_.update_in_batches("name", {r["id"]: f"nation {r['id'] - 1}" for r in nations(d) if r["region"] != 2} | {999: "x"}, 6)
+    return table_.dataframe().select("id", "name")
+
+
+@query("SELECT n_nationkey + 1 AS id FROM nation WHERE n_regionkey NOT IN (1, 3)")
+def store_delete_in_batches(t, d):
+    _, table_ = stored_nations(d)
+    table_.delete_in_batches([r["id"] for r in nations(d) if r["region"] in (1, 3)] + [999], 4)
+    return table_.query().get_ids()
+
+
+@query("SELECT n_nationkey + 1 AS id, (n_regionkey + CASE WHEN n_nationkey = 4 THEN 5 ELSE 0 END)::INT AS region, (n_nationkey + CASE WHEN n_nationkey = 4 THEN 7 ELSE 0 END)::INT AS code FROM nation UNION ALL SELECT 100, 1, 2")
+def atomic_increment_two_columns(t, d):
+    store = Store(d("nation").sparkSession, scratch(d("nation").sparkSession, "store"))
+    table_ = store.table("n").knowing(key="id")
+    table_.save_batch(d("nation").select((F.col("n_nationkey") + 1).alias("id"), F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("code")))
+    one = lambda i: table_.query().where(f("id") == i)
+    table_.atomic_increment(one(5), {"region": 5, "code": 7}, {})
+    table_.atomic_increment(one(100), {"region": 5, "code": 7}, {"id": 100, "region": 1, "code": 2})
+    return table_.dataframe()
+
+
+def together(*jobs: Callable[[], object]) -> None:
+    """Run some writes at the same time; the first error of any is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(j) for j in jobs]:
+            done.result()
+
+
+@query("SELECT n_nationkey + 1 AS id, (n_regionkey + CASE WHEN n_nationkey = 4 THEN 20 ELSE 0 END)::INT AS region FROM nation")
+def store_parallel_increment(t, d):
+    store, table_ = stored_nations(d, 100)
+    reused = table_.query().where(f("id") == 5)
+    elsewhere = lambda: Store(store.spark, store.root).table("n").knowing(key="id")
+    together(*[lambda: table_.atomic_increment(reused, {"region": 5}, {})] * 2, *[lambda: elsewhere().atomic_increment(reused, {"region": 5}, {})] * 2)
+    return table_.dataframe().select("id", "region")
+
+
+@query("""SELECT 'n' || n_regionkey AS tab, n_nationkey + 1 AS id FROM nation WHERE n_regionkey < 3
+          UNION ALL SELECT 'all', row_number() OVER () FROM nation WHERE n_regionkey < 3""")
+def store_parallel_tables(t, d):
+    """Writers of three tables, which all add rows to a fourth one too."""
+    store, _ = stored_nations(d, 100)
+    own = {k: [r for r in nations(d) if r["region"] == k] for k in range(3)}
+    new = lambda name: Store(store.spark, store.root).table(name).knowing(key="id")
+    schema = T.StructType.fromDDL(NATION)
+    together(*[lambda k=k: new(f"n{k}").save_batch(own[k], schema) for k in own], *[lambda k=k: new("all").save_batch([r | {"id": 0} for r in own[k]], schema) for k in own])
+    return reduce(DataFrame.unionByName, [store.table(n).dataframe().select(F.lit(n).alias("tab"), "id") for n in ("n0", "n1", "n2", "all")])
+
+
+@query("SELECT n_nationkey AS key, n_name AS name, (n_nationkey + 1)::INT AS place FROM nation")
+def queue_put_get(t, d):
+    queues = Queues()
+    for r in d("nation").orderBy("n_nationkey").collect():
+        queues.put("nation", (r["n_nationkey"], r["n_name"]))
+    rows = [(*item, k) for k, item in enumerate(queues.get_all("nation"), 1)] + [(-1, "left", k) for k, _ in enumerate(queues.get_all("nation"))]
+    return d("nation").sparkSession.createDataFrame(rows, "key int, name string, place int")
+
+
+@query("SELECT 'peeked' AS how, n_nationkey AS key FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'drained', n_nationkey FROM nation WHERE n_regionkey = 1")
+def queue_named(t, d):
+    queues = Queues()
+    for k in (0, 1):
+        queues.replace_named("nation", "of a region", [r["n_nationkey"] for r in d("nation").where(F.col("n_regionkey") == k).collect()])
+    rows = [(how, key) for how, drop in (("peeked", False), ("drained", True), ("left", False)) for key in queues.get_named("nation", "of a region", delete=drop)]
+    return d("nation").sparkSession.createDataFrame(rows, "how string, key int")
+
+
+@query("""SELECT 'urgent' AS step, count(*) AS n FROM orders WHERE lower(o_orderpriority) = '1-urgent'
+          UNION ALL SELECT 'open', count(*) FROM orders WHERE lower(o_orderpriority) = '1-urgent' AND o_orderstatus = 'O'
+          UNION ALL SELECT 'dear', count(*) FROM orders WHERE lower(o_orderpriority) = '1-urgent' AND o_totalprice > 200000""")
+def intermediate_results(t, d):
+    """One query, extended in two ways and used again."""
+    urgent = t("orders").where(f("o_orderpriority") == "1-urgent")
+    steps = {"urgent": urgent, "open": urgent.where(f("o_orderstatus") == "O"), "dear": urgent.where(f("o_totalprice") > 200000.0)}
+    return reduce(DataFrame.unionByName, [q.count().select(F.lit(name).alias("step"), F.col("count").alias("n")) for name, q in steps.items()])
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation WHERE n_regionkey <> 0")
+def select_in_batches(t, d):
+    batches = list(t("nation").where(f("n_regionkey") != 0).in_batches("n_nationkey", "n_name", size=6))
+    assert all(len(b) == 6 for b in batches[:-1])
+    return d("nation").sparkSession.createDataFrame([tuple(r) for b in batches for r in b], "key int, name string")
+
+
+def described(store: Store, name: str) -> list[tuple]:
+    return [(i["kind"], i["column"], i.get("value")) for i in store.indexes(name)]
+
+
+@query("SELECT 'property' AS kind, 'region' AS column_name, NULL::VARCHAR AS value, 25 AS cached UNION ALL SELECT 'group', 'region', 'id', 25")
+def index_definitions(t, d):
+    store, table_ = stored_nations(d)
+    table_.create_property_index("region")
+    table_.create_group_index("region", "id")
+    cached = table_.cached()
+    n = cached.count()
+    cached.unpersist()
+    return store.spark.createDataFrame([(*i, n) for i in described(Store(store.spark, store.root), "n")], "kind string, column_name string, value string, cached int")
+
+
+@query("SELECT n_regionkey AS key, count(*) AS n, (max(n_nationkey) + 1)::INT AS top FROM nation GROUP BY 1")
+def group_index_strict(t, d):
+    _, table_ = stored_nations(d)
+    table_.create_group_index("region", "id")
+    return table_.query(strict=True).group_by("region").select(key=agg.key(), n=agg.count(), top=agg.max_("id"))
+
+
+@query("SELECT 'group' AS kind, 'region' AS column_name")
+def index_removal(t, d):
+    store, table_ = stored_nations(d)
+    table_.create_property_index("region")
+    table_.create_group_index("region", "id")
+    for _ in range(2):
+        table_.remove_index("property", "region")
+    return store.spark.createDataFrame([i[:2] for i in described(store, "n")], "kind string, column_name string")
+
+
+@query(f"WITH {_bits_sql(256)}, found AS ({_found_sql('with', 256)}) SELECT doc_id, lang FROM found JOIN documents USING (doc_id) WHERE lang = 'en'")
+def search_bitfunnel_stored(t, d):
+    """The signatures are written with the table once; the search reads them and no text."""
+    store = Store(d("documents").sparkSession, scratch(d("documents").sparkSession, "store"))
+    table_ = store.table("documents").knowing(key="doc_id", search={"text": "words"})
+    table_.save_batch(d("documents").select((F.col("doc_id") + 1).alias("doc_id"), "text", "lang"))
+    table_.create_bitfunnel_index("text", 256)
+    found = table_.query().search_bitfunnel("text", "with").where(f("lang") == "en").select("doc_id", "lang")
+    return found.withColumn("doc_id", F.col("doc_id") - 1)
+
+
+@query("SELECT * FROM (VALUES ('n', 'id', 'int'), ('n', 'name', 'string'), ('n', 'region', 'int'), ('s', 'id', 'bigint'), ('s', 'name', 'string'), ('s', 'nation', 'int')) v(tab, column_name, kind)")
+def table_definitions(t, d):
+    store, _ = stored_nations(d)
+    store.table("s").knowing(key="id").save_batch(supplier(d))
+    rows = [(n, c.name, c.dataType.simpleString()) for n in store.tables() for c in store.definition(n)]
+    return store.spark.createDataFrame(rows, "tab string, column_name string, kind string")
+
+
+@query("SELECT n_nationkey + 1 AS id, CASE WHEN n_nationkey = 0 THEN 'kept' ELSE n_name END AS name FROM nation")
+def store_reopened(t, d):
+    store, table_ = stored_nations(d)
+    table_.update("name", {1: "kept"})
+    return Store(store.spark, store.root).table("n").knowing(key="id").dataframe().select("id", "name")
+
+
+@query(f"SELECT (o_orderkey % {SHARDS} + 1)::INT AS Sid, count(*) AS n, sum(o_orderkey)::BIGINT AS s FROM orders GROUP BY 1")
+def placement(t, d):
+    rows = d("orders").select(F.lit(0).alias("Sid"), F.lit(0).alias("Id"), "o_orderkey")
+    return place(rows, SHARDS, position="o_orderkey").groupBy("Sid").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("s"))
+
+
+@query("SELECT c_custkey + 1 AS id, c_nationkey AS nation FROM customer")
+def stream_save(t, d):
+    """A stream of files into a store, each micro-batch one commit."""
+    spark = d("customer").sparkSession
+    source, target = scratch(spark, "stream"), scratch(spark, "store")
+    d("customer").select((F.col("c_custkey") + 1).alias("id"), F.col("c_nationkey").alias("nation")).repartition(4).write.parquet(source)
+    table_ = Store(spark, target).table("c").knowing(key="id")
+    stream = spark.readStream.schema("id long, nation int").option("maxFilesPerTrigger", 2).parquet(source)
+    save_stream(stream, table_, f"{target}-checkpoint", "customers").awaitTermination()
+    return table_.dataframe()

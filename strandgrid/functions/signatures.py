@@ -1,18 +1,20 @@
 """Bit signatures of token sets: three hashes a token, a superset test for searches.
 
 The hashes are built from FNV-1a (32 bit), DJB2 and SDBM (64 bit) over UTF-16 code units, computed for a whole batch of
-tokens at once.
+tokens at once.  A signature is packed into 64-bit words, so the test is a few bitwise ANDs in generated code.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandgrid.functions.text import query_words, tokens
+from strandgrid.functions.text import SEPARATORS, SPACES, query_words
 from strandgrid.plans.errors import QueryError
 
 #: Fixed values of the three hashes.
@@ -20,6 +22,10 @@ FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 DJB2_BASIS, DJB2_FACTOR = 5381, 33
 SDBM_FACTOR = 65599
 
+_PLAIN = re.compile(f"[^{SPACES}]+")
+_PARTS = re.compile("[ " + re.escape(SEPARATORS) + "]+")
+_SPACE_CHARACTERS = "".join(chr(c) for c in range(0x10000) if re.match(f"[{SPACES}]", chr(c)))
+
 
 def check_size(bits: int, batch: int) -> None:
     if bits <= 0 or bits % 8:
@@ -45,28 +51,58 @@ def positions(words: list[str], bits: int) -> np.ndarray:
     return np.stack([fnv, djb, sdbm], 1) % np.uint64(bits)
 
 
+def token_set(low: str, mode: str) -> set[str]:
+    """The distinct tokens of a lower-cased text; as text.tokens gives them."""
+    out = set(_PLAIN.findall(low))
+    if mode != "spaces":
+        out.update(x.strip(_SPACE_CHARACTERS) for x in _PARTS.split(low))
+        out.discard("")
+    return out
+
+
+def packed(texts: list[str | None], bits: int, mode: str) -> np.ndarray:
+    """The signatures of some texts: one row each of 64-bit words, bit b in word b // 64."""
+    known: dict[str, int] = {}
+    sets = [[known.setdefault(t, len(known)) for t in token_set(x, mode)] if x is not None else [] for x in texts]
+    at = positions(list(known), bits).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in sets])
+    out = np.zeros((len(texts), -(-bits // 64) * 64), bool)
+    own = np.fromiter((t for x in sets for t in x), np.int64, len(row))
+    out[row[:, None], at[own]] = True
+    return np.packbits(out, axis=1, bitorder="little").view("<i8")
+
+
 def signature(column: Column, bits: int, mode: str = "words") -> Column:
-    """array<int> of the set bits of a text's tokens; NULL for NULL.  Tokens are made by Spark, hashes in Arrow batches."""
+    """array<bigint> of a text's signature, packed; NULL for NULL.  Texts become tokens and bits in Arrow batches."""
+    words = -(-bits // 64)
+    most = max(1, (1 << 23) // bits)  # rows whose bits are spread out at once
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<bigint>")
     def hashed(rows: pa.Array) -> pa.Array:
-        words = rows.flatten().dictionary_encode()
-        at = positions(words.dictionary.to_pylist(), bits).astype(np.int64)
-        size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(rows)), size)
-        # row and bit as one number: sorted and distinct at once
-        own = np.unique((row[:, None] * bits + at[words.indices.to_numpy(zero_copy_only=False)]).ravel()) if len(row) else np.zeros(0, np.int64)
-        offsets = np.searchsorted(own, np.arange(len(rows) + 1) * bits).astype(np.int32)
-        made = pa.ListArray.from_arrays(pa.array(offsets), pa.array((own % bits).astype(np.int32)))
-        return pc.if_else(rows.is_null(), pa.scalar(None, made.type), made)
+        texts = rows.to_pylist()
+        made = [packed(texts[k : k + most], bits, mode).ravel() for k in range(0, len(texts), most)]
+        flat = np.concatenate(made) if made else np.zeros(0, np.int64)
+        out = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * words), pa.array(flat))
+        return pc.if_else(rows.is_null(), pa.scalar(None, out.type), out)
+
+    return hashed(F.lower(column))
+
 
-    return hashed(tokens(column, mode))
+def share_of_bits(signature: Column, bits: int) -> Column:
+    """The share of a packed signature's bits that are set."""
+    return F.aggregate(signature, F.lit(0), lambda n, x: n + F.bit_count(x)) / F.lit(bits)
 
 
-def may_match(bits_set: Column, query: str, bits: int) -> Column:
-    """The signature holds all bits of the query's words: true for every match, and for some other rows."""
+def may_match(signature: Column, query: str, bits: int) -> Column:
+    """The packed signature holds all bits of the query's words: true for every match, and for some other rows."""
     words = query_words(query)
     if not words:
         return F.lit(query == "")
-    wanted = np.unique(positions(words, bits)).tolist()
-    return F.coalesce(F.size(F.array_except(F.array(*[F.lit(int(b)) for b in wanted]), bits_set)) == 0, F.lit(False))
+    masks: dict[int, int] = {}
+    for b in np.unique(positions(words, bits)).tolist():
+        masks[b // 64] = masks.get(b // 64, 0) | 1 << b % 64
+    out = F.lit(True)
+    for k, mask in sorted(masks.items()):
+        wanted = F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+        out = out & (signature.getItem(k).bitwiseAND(wanted) == wanted)
+    return F.coalesce(out, F.lit(False))

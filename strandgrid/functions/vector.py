@@ -11,13 +11,14 @@ from strandgrid.plans.errors import QueryError
 
 
 def squared_distance(vector: Column, to: Sequence[float], name: str = "vector") -> Column:
-    """Squared Euclidean distance: components subtracted as floats, squares summed as doubles; NULL for NULL.
+    """Squared Euclidean distance: components subtracted as floats, squares summed as doubles, the sum rounded to a float
+    (and given as a double); NULL for NULL.
 
     A vector of another dimension fails the query.
     """
     query = F.array(*[F.lit(float(x)).cast("float") for x in to])
     part = F.zip_with(vector, query, lambda a, b: (a - b).cast("double") * (a - b).cast("double"))
-    total = F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
+    total = F.aggregate(part, F.lit(0.0), lambda s, x: s + x).cast("float").cast("double")
     wrong = F.size(vector) != F.lit(len(to))
     return F.when(vector.isNull(), F.lit(None).cast("double")).when(wrong, F.raise_error(F.lit(f"column {name}: vector dimensionality changed")).cast("double")).otherwise(total)
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Batches whose counts are summed up together before the runs of them are.
+RUN = 4096
+
 
 def ordered(df: DataFrame, column: str, up: bool, identity: list[str], skip: int | None, take: int | None) -> DataFrame:
     """NULLs first going up and last going down; ties by identity in the same direction; strings in any case.
@@ -21,10 +24,15 @@ def ordered(df: DataFrame, column: str, up: bool, identity: list[str], skip: int
 
 
 def until_count(rows: DataFrame, key: str, batch: int, stop: int) -> DataFrame:
-    """The rows of all batches of ``batch`` keys up to the one in which the running count reaches ``stop``."""
+    """The rows of all batches of ``batch`` keys up to the one in which the running count reaches ``stop``.
+
+    The running count has two levels: runs of RUN batches are summed up in one task, which sees one row for each of them,
+    and the batches of a run in one task for each run.
+    """
     held = rows.withColumn("_batch", F.floor(F.col(key) / F.lit(batch)))
-    # one row a batch: a small table, whose running sum is made in one task
-    sizes = held.groupBy("_batch").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = sizes.withColumn("_before", before).where(F.col("_before") < stop).select("_batch")
+    sizes = held.groupBy("_batch").agg(F.count(F.lit(1)).alias("_n")).withColumn("_run", F.floor(F.col("_batch") / F.lit(RUN)))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sizes.groupBy("_run").agg(F.sum("_n").alias("_n")).select("_run", earlier(Window.orderBy("_run")).alias("_start"))
+    inside = sizes.withColumn("_within", earlier(Window.partitionBy("_run").orderBy("_batch")))
+    kept = inside.join(runs, "_run").where(F.col("_start") + F.col("_within") < stop).select("_batch")
     return held.join(kept, "_batch", "left_semi").drop("_batch")

@@ -99,11 +99,16 @@ def deleted(before: DataFrame, ids: Iterable[int] | DataFrame, schema: TableSche
     return before.join(gone, key, "left_anti")
 
 
+def wrapped(n: int) -> int:
+    """An int column's value: beyond its 32 bits it goes on at the other end."""
+    return (n + 2**31) % 2**32 - 2**31
+
+
 def incremented(before: DataFrame, matches: DataFrame, steps: Mapping[str, int], new_row: Mapping[str, Any], schema: TableSchema, only_if: int | None = None) -> tuple[DataFrame, int | None]:
     """Add to int columns of the one row of ``matches``, or insert ``new_row`` if there is none.
 
     Returns the table after, and the first column's old value (None if a row was inserted).  With ``only_if``, nothing is
-    added unless the old value is that; the old value is returned all the same.
+    added unless the old value is that; the old value is returned all the same.  Sums wrap around at 32 bits.
     """
     for c in steps:
         if not isinstance(kind_of(before.schema, c), T.IntegerType):
@@ -117,9 +122,12 @@ def incremented(before: DataFrame, matches: DataFrame, steps: Mapping[str, int],
         if schema.key not in new_row:
             row = row.withColumn(schema.key, F.lit(0).cast(before.schema[schema.key].dataType))
         return saved(before, row, schema), None
-    old = found[0][next(iter(steps))]
+    row = found[0]
+    if any(row[c] is None for c in steps):
+        raise QueryError("NULL can't be incremented")
+    old = row[next(iter(steps))]
     if only_if is not None and old != only_if:
         return before, old
-    hit = F.col(schema.key) == F.lit(found[0][schema.key])
-    added = {c: F.when(hit, (F.coalesce(F.col(c), F.lit(0)) + F.lit(n)).cast("int")).otherwise(F.col(c)) for c, n in steps.items()}
+    hit = F.col(schema.key) == F.lit(row[schema.key])
+    added = {c: F.when(hit, F.lit(wrapped(row[c] + n)).cast("int")).otherwise(F.col(c)) for c, n in steps.items()}
     return before.withColumns(added), old

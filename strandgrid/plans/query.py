@@ -26,6 +26,8 @@ from strandgrid.plans.schema import DATES, NUMBERS, STEP, TableSchema, is_vector
 BOUNDARIES = ("both_inclusive", "from_inclusive", "to_inclusive", "both_exclusive")
 #: Values up to which membership is a literal list; more become a semi join.
 LITERALS = 2000
+#: The column of a stored table that holds the packed signatures of its signature index.
+SIGNATURE = "_signature"
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,7 @@ class Query:
     taken: int | None = None
     group: str | None = None
     signature_index: tuple[str, int] | None = None
+    group_indexes: frozenset[tuple[str, str]] | None = None  # (group, value) pairs that may be grouped; None: all
 
     # filters
 
@@ -144,16 +147,23 @@ class Query:
         return self if query == "" else self._where(text.has_all_prefixes(F.col(column), query, mode) & limit)
 
     def search_time_limited(self, column: str, query: str, milliseconds: int, steps_at_once: int = 5, clock: Callable[[], dt.datetime] = dt.datetime.now) -> tuple["Query", int]:
-        """Search five steps of keys at a time until the time is over.  Returns the query limited to the searched steps,
-        and the percentage of steps searched; how far it comes depends on the machine."""
+        """Search a few steps of keys at a time until the time is over.  Returns the query limited to the searched steps,
+        and the percentage of steps searched; how far it comes depends on the machine.
+
+        It begins with ``steps_at_once`` steps and doubles their number as long as that fits the time left, so a large
+        table takes few jobs.  Files sorted by key are only read where the steps are.
+        """
         last = self.last_step().first()[0]
         total = 0 if last is None else int(last) + 1
-        until = clock() + dt.timedelta(milliseconds=milliseconds)
-        done = 0
-        while done < total and clock() < until:
+        limit = dt.timedelta(milliseconds=milliseconds)
+        begun = clock()
+        done, now = 0, steps_at_once
+        while done < total and (since := clock()) - begun < limit:
             # the work that is timed: the matches of these steps
-            self.search(column, query, done, min(steps_at_once, total - done)).count().first()
-            done = min(total, done + steps_at_once)
+            self.search(column, query, done, min(now, total - done)).count().first()
+            done = min(total, done + now)
+            if 2 * (clock() - since) < limit - (clock() - begun):
+                now *= 2
         return self.search(column, query, 0, done), 100 if total == 0 else 100 * done // total
 
     def search_bitfunnel(self, column: str, query: str, stop_count: int | None = None, batch: int = 1024) -> "Query":
@@ -169,11 +179,11 @@ class Query:
         if query == "":
             return self
         bits = self.signature_index[1]
-        held = F.col("_signature") if "_signature" in self.source.columns else signatures.signature(F.col(column), bits, self.schema.search_mode(column))
-        rows = self.source.withColumn("_held", held).where(signatures.may_match(F.col("_held"), query, bits)).select(*self.identity)
-        if stop_count is not None:
-            rows = ordering.until_count(rows, self.schema.key, batch, stop_count)
-        return self.intersect_ids(rows)
+        held = F.col(SIGNATURE) if SIGNATURE in self.source.columns else signatures.signature(F.col(column), bits, self.schema.search_mode(column))
+        found = signatures.may_match(held, query, bits)
+        if stop_count is None:
+            return self._where(found)
+        return self.intersect_ids(ordering.until_count(self.source.where(found).select(*self.identity), self.schema.key, batch, stop_count))
 
     def search_neighbours(self, column: str, to: Sequence[float], k: int) -> "Query":
         """The k nearest rows of the whole table (of each shard, if sharded), ANDed with the other clauses."""
@@ -232,7 +242,7 @@ class Query:
         return df if self.order is None else ordering.ordered(df, *self.order, self.identity, self.skipped, self.taken)
 
     def select_entity(self) -> DataFrame:
-        return self.rows().select([c for c in self.source.columns if c != "_signature"])
+        return self.rows().select([c for c in self.source.columns if c != SIGNATURE])
 
     def select(self, *columns: str, **renamed: str) -> DataFrame:
         """Bare columns, under their own or new names; expressions are rejected."""
@@ -307,4 +317,9 @@ class Grouped:
         """One row for each group; each output is a key(), count(), sum_(c), ... of strandgrid.operators.aggregates."""
         if self.query.shard and not any(a.kind == "key" for a in outputs.values()):
             raise QueryError("groups of a sharded table need their key")
+        allowed = self.query.group_indexes
+        for a in outputs.values():
+            needs = isinstance(a, aggregates.Aggregate) and allowed is not None
+            if needs and not any(g == self.column and a.column in (None, v) for g, v in allowed):
+                raise QueryError(f"column {self.column}: no group index" + (f" with {a.column}" if a.column else ""))
         return aggregates.grouped(self.query.matches(), self.column, outputs)

@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import time
 import uuid
 from typing import Any
 
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+from strandgrid.plans.errors import QueryError
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which the driver and all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    """A new path below spark.checkpoint.dir, which the driver and all executors share.
+
+    Where it is unset, a session on one machine takes that machine's temporary folder; a cluster has to name a folder.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise QueryError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,6 +47,13 @@ class Files:
     def names(self, name: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs().listStatus(self._path(name))) if self.exists(name) else []
 
+    def older(self, name: str, seconds: float) -> list[str]:
+        """The names in a folder that were changed last before so many seconds."""
+        if not self.exists(name):
+            return []
+        until = time.time() - seconds
+        return sorted(s.getPath().getName() for s in self._fs().listStatus(self._path(name)) if s.getModificationTime() / 1000 <= until)
+
     def read(self, name: str) -> Any:
         stream = self._fs().open(self._path(name))
         try:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,8 @@ def shard_of(key: Column, shards: int) -> Column:
 def place(rows: DataFrame, shards: int, shard: str = "Sid", key: str = "Id", position: str | None = None) -> DataFrame:
     """Give the rows of a batch their shard: all must be new (key and shard 0) or all have both.
 
-    New rows are dealt in turn by ``position`` (a number from 0), or at random if there is none.
+    New rows are dealt in turn by ``position`` (a number from 0), or at random if there is none; the draw has a seed, so a
+    task that is run again deals as before.
     """
     new = (F.col(key) == 0) & (F.col(shard) == 0)
     half = (F.col(key) == 0) != (F.col(shard) == 0)
@@ -47,5 +50,5 @@ def place(rows: DataFrame, shards: int, shard: str = "Sid", key: str = "Id", pos
         raise QueryError("new and existing rows can't be saved in one batch")
     if not seen["new"]:
         return rows
-    dealt = shard_of(F.col(position), shards) if position else (F.floor(F.rand() * shards) + 1).cast("int")
+    dealt = shard_of(F.col(position), shards) if position else (F.floor(F.rand(random.getrandbits(31)) * shards) + 1).cast("int")
     return rows.withColumn(shard, dealt)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from strandgrid.sources.queues import Queues
-from strandgrid.sources.store import StoredTable
+from strandgrid.sources.store import RETRIES, Conflict, StoredTable
 
 
 def save_stream(stream: DataFrame, table: StoredTable, checkpoint: str, name: str, **trigger: Any) -> StreamingQuery:
@@ -16,11 +16,22 @@ def save_stream(stream: DataFrame, table: StoredTable, checkpoint: str, name: st
     failure changes nothing: each row is saved exactly once."""
 
     def save(batch: DataFrame, number: int) -> None:
-        tx = table.store.transaction()
-        if tx.state["streams"].get(name, -1) >= number:
-            return
-        tx.save_batch(table, batch)
-        tx.commit(stream=(name, number))
+        for attempt in range(RETRIES):
+            tx = table.store.transaction()
+            if tx.state["streams"].get(name, -1) >= number:
+                tx.rollback()
+                return
+            try:
+                tx.save_batch(table, batch)
+            except BaseException:
+                tx.rollback()
+                raise
+            try:
+                tx.commit(stream=(name, number))
+                return
+            except Conflict:
+                if attempt == RETRIES - 1:
+                    raise
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

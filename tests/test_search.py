@@ -116,7 +116,19 @@ def test_signatures_find_a_superset(spark):
 def test_signatures_of_rows(spark):
     values = ["a b", None, "", "c", "a"]
     got = [r[0] for r in spark.createDataFrame(list(enumerate(values)), "i int, v string").repartition(1).orderBy("i").select(signatures.signature(F.col("v"), 64)).collect()]
-    assert got == [None if v is None else sorted({p for w in model(v, "words") for p in signatures.positions([w], 64)[0].tolist()}) for v in values]
+    bits = lambda v: {p for w in model(v, "words") for p in signatures.positions([w], 64)[0].tolist()}
+    assert got == [None if v is None else [int.from_bytes(sum(1 << p for p in bits(v)).to_bytes(8, "little"), "little", signed=True)] for v in values]
+    wide = spark.createDataFrame([("a b c. d",)], "v string").select(signatures.signature(F.col("v"), 200).alias("s"))
+    want = {p for w in model("a b c. d", "words") for p in signatures.positions([w], 200)[0].tolist()}
+    assert [b for k, x in enumerate(wide.first()["s"]) for b in range(64 * k, 64 * k + 64) if x >> (b % 64) & 1] == sorted(want)
+    assert wide.select(signatures.share_of_bits(F.col("s"), 200)).first()[0] == len(want) / 200
+
+
+def test_token_sets_in_python_and_in_spark_agree(spark):
+    values = ["a.b\nc", "x\x1cy \x85z", "", "  ", "Ünï-CODE–dash•dot", "tab\there (par) [b]"]
+    for mode in ("words", "spaces"):
+        df = spark.createDataFrame([(v,) for v in values], "v string").select(F.lower("v").alias("low"), text.tokens(F.col("v"), mode).alias("t"))
+        assert all(signatures.token_set(r["low"], mode) == set(r["t"]) for r in df.collect())
 
 
 def test_signature_hashes():
