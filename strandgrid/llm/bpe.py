@@ -65,6 +65,18 @@ class Merges:
             ids[at : at + 2] = [best[1]]
         return ids
 
+    def last_pair(self, ids: list[int]) -> tuple[int, int] | None:
+        """The pair that the last merge joins, if all of ``ids`` become one token."""
+        ids, ranks, last = list(ids), self.ranks, None
+        while len(ids) > 1:
+            known = [(r, i) for i in range(len(ids) - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
+            if not known:
+                return None
+            (_, new), at = min(known)
+            last = (ids[at], ids[at + 1])
+            ids[at : at + 2] = [new]
+        return last
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list: n log n for words of any length."""
         import heapq
@@ -101,6 +113,8 @@ class PairTable:
 
     def __init__(self, merges: Merges):
         self.merges = merges
+        #: token: (left, right, rank) of the merge that completes it; None: a symbol; () : not known, or out of rank order
+        self.made: dict[int, tuple[int, int, int] | tuple[()] | None] = {}
         self.own: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
@@ -110,6 +124,22 @@ class PairTable:
             known = self.own[token] = m.merge(m.symbols(m.token_bytes[token], m.ends[token])) == [token]
         return known
 
+    def completed(self, token: int) -> tuple[int, int, int] | tuple[()] | None:
+        """The last merge of a token that stands, if its merges come in the order of their ranks."""
+        if token in self.made:
+            return self.made[token]
+        m = self.merges
+        ids = m.symbols(m.token_bytes[token], m.ends[token])
+        out: tuple[int, int, int] | tuple[()] | None = None
+        if len(ids) > 1:
+            out = ()
+            if len(ids) <= 64 and (last := m.last_pair(ids)) is not None and m.ranks[last][1] == token:
+                parts = [self.completed(x) for x in last]
+                if all(x is None or (x and x[2] < m.ranks[last][0]) for x in parts):
+                    out = (*last, m.ranks[last][0])
+        self.made[token] = out
+        return out
+
     def holds(self, a: int, b: int) -> bool:
         if (known := self.pairs.get((a, b))) is None:
             if len(self.pairs) > 300_000:
@@ -118,6 +148,26 @@ class PairTable:
         return known
 
     def decided(self, a: int, b: int) -> bool:
+        """Take both tokens apart at the edge where they meet, the later merge first.  Whenever two parts stand side by
+        side, a merge of them must not come before the merges that use them up (of equal ones the left comes first)."""
+        left, right, ranks = a, b, self.merges.ranks
+        used_left = used_right = 1 << 62
+        while True:
+            cross = ranks.get((left, right))
+            if cross is not None and cross[0] < used_left and cross[0] <= used_right:
+                return False
+            x, y = self.completed(left), self.completed(right)
+            if x is None and y is None:
+                return True
+            if x == () or y == ():
+                return self.merged_alike(a, b)
+            if y is None or (x is not None and x[2] > y[2]):
+                left, used_left = x[1], x[2]
+            else:
+                right, used_right = y[0], y[2]
+
+    def merged_alike(self, a: int, b: int) -> bool:
+        """The definition: merge the joint text."""
         m = self.merges
         return m.merge(m.symbols(m.token_bytes[a], False) + m.symbols(m.token_bytes[b], m.ends[b])) == [a, b]
 

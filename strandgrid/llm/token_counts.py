@@ -6,14 +6,17 @@ Two deterministic machines make the counts of a byte-level vocabulary:
   folded in) and marks the transitions that begin a word.  The text of many documents is cut into equal chunks; the
   map from start state to end state of every chunk is built for all start states at once, the maps are composed by a
   parallel prefix scan, and each chunk is then run once more from the state the scan gives it.
-* ``CountTransducer`` reads the bytes of a word.  Its states hold the last tokens of the encodings of the word's
+* ``CountTransducer`` reads the bytes of the words.  Its states hold the last tokens of the encodings of the word's
   prefixes, as far back as a token can still begin; each transition carries the change in the number of emitted tokens.
-  States and transitions are compiled on first use and remembered; their number is bounded.
+  States and transitions are compiled on first use and remembered; their number is bounded.  The text is cut into
+  chunks, all chunks are run in step over arrays of transitions, and their maps (entry state to last state and emitted
+  tokens) are composed by a prefix scan, whose sums at the documents' edges are the counts.
 
 Strings of added tokens inside a text count as the library counts them: one token, and the text splits there.
 
-Defined cases: null and empty texts have 0 bytes and 0 tokens; words and texts of any length are read in one pass;
-repeated rows and ids repeat; an empty table gives no rows.
+Defined cases: null and empty texts have 0 bytes and 0 tokens; texts of any length are whole, read in slices of about
+SLICE bytes (a single word beyond that is read at once); rows that repeat a text or an id give a row each; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from strandgrid.llm._common import LASTING, id_text, row_blocks, table, text_arrays
+from strandgrid.llm._common import LASTING, id_text, table, text_arrays
 from strandgrid.llm.bpe import Merges, PairTable, default_path, load
 
 OVER = 512
 CHUNK = 256
-#: Compiled states and remembered words of a worker; both are dropped and built anew beyond this.
-MOST_STATES, MOST_WORDS = 120_000, 400_000
+#: Bytes before a chunk inside a word that its entry state is guessed from.
+WARM = 48
+#: Bytes of text that are read together.
+SLICE = 1 << 20
+#: Compiled states of a worker; they are dropped and built anew beyond this.
+MOST_STATES = 250_000
+#: Entry of a chunk that begins with a word: it takes every state.
+ANY = -1
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_CUT = re.compile(rb"[0-9A-Za-z](?=[ \n])")
 
 # character classes
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
@@ -123,11 +134,12 @@ class CharClasses:
 
 
 class CountTransducer:
-    """Bytes of one word in, number of tokens out.
+    """Bytes in, number of tokens out; a word begins in state 0.
 
     State: the longest read suffix that can still begin a token, the last token of the encoding of each prefix that
     ends inside it, and those prefixes' token counts relative to the newest.  The next encoding's last token is the one
-    vocabulary token that ends at the new byte and holds with the token before it.
+    vocabulary token that ends at the new byte and holds with the token before it.  A transition carries the change in
+    the number of tokens.  Transitions are compiled on first use into a hash table of arrays.
     """
 
     def __init__(self, merges: Merges):
@@ -137,63 +149,135 @@ class CountTransducer:
         self.clear()
 
     def clear(self) -> None:
-        self.states = [(b"", (), ())]
+        self.states = [(b"", (None,), (0,))]
         self.number = {self.states[0]: 0}
-        self.moves: dict[int, int] = {}  # state << 8 | byte: next state << 16 | 32768 + emitted tokens
+        self._tables(16)
+
+    def _tables(self, bits: int) -> None:
+        self.bits, self.used = bits, 0
+        self.keys, self.moves = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
 
     def compile(self, state: int, byte: int) -> int:
+        """The transition of a state and a byte: next state << 16 | 32768 + change in the number of tokens."""
         suffix, tokens, counts = self.states[state]
         # tokens[k], counts[k]: of the prefix that ends after suffix[:k]; counts relative to the newest prefix; a
-        # None token is the word's beginning.  An empty suffix at the beginning has no entry before it.
-        tokens, counts = tokens or (None,), counts or (0,)
-        read = suffix + bytes([byte])
-        found = None
-        for k in range(len(suffix) + 1):
-            token = self.ids.get(read[k:])
-            if token is not None and (tokens[k] is None or self.pairs.holds(tokens[k], token)):
-                found = (token, counts[k] + 1)
+        # None token is the word's beginning
+        read, ids, holds = suffix + bytes([byte]), self.ids, self.pairs.holds
+        for k in range(len(read)):
+            token = ids.get(read[k:])
+            if token is not None and (tokens[k] is None or holds(tokens[k], token)):
+                delta = counts[k] + 1
                 break
-        if found is None:
+        else:
             raise ValueError("no token ends here: the vocabulary lacks a byte")
-        token, delta = found
-        cut = next(k for k in range(len(read) + 1) if read[k:] in self.prefixes)
-        new = (read[cut:], (*tokens, token)[cut:], tuple(c - delta for c in (*counts, delta)[cut:]))
+        cut = 0
+        while read[cut:] not in self.prefixes:
+            cut += 1
+        new = (read[cut:], (*tokens, token)[cut:], tuple([c - delta for c in counts[cut:]] + [0]))
         at = self.number.get(new)
         if at is None:
             at = self.number[new] = len(self.states)
             self.states.append(new)
-        move = self.moves[state << 8 | byte] = at << 16 | 32768 + delta
-        return move
-
-    def count(self, word: bytes) -> int:
-        if len(self.states) > MOST_STATES:
-            self.clear()
-        state, total, known = 0, 0, self.moves.get
-        for byte in word:
-            move = known(state << 8 | byte)
-            if move is None:
-                move = self.compile(state, byte)
-                if len(self.states) > 2 * MOST_STATES:  # a single word of great length: carry the state over
-                    held = self.states[move >> 16]
-                    self.clear()
-                    self.states.append(held)
-                    self.number[held], known = 1, self.moves.get
-                    move = 1 << 16 | move & 0xFFFF
-            state = move >> 16
-            total += (move & 0xFFFF) - 32768
-        return total
-
-
-class WordCounts(dict):
-    def __init__(self, machine: CountTransducer):
-        super().__init__()
-        self.machine = machine
-
-    def __missing__(self, word: bytes) -> int:
-        n = self.machine.count(word)
-        if len(self) < MOST_WORDS:
-            self[word] = n
-        return n
+        return at << 16 | 32768 + delta
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the empty one that it would take."""
+        slot = ((keys.view(np.uint64) * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[slot]
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[todo]]
+            todo = todo[(held != keys[todo]) & (held >= 0)]
+        return slot
+
+    def _add(self, keys: np.ndarray, moves: np.ndarray) -> None:
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            own = self.keys >= 0
+            keys, moves = np.concatenate([self.keys[own], keys]), np.concatenate([self.moves[own], moves])
+            self._tables(max(self.bits, int(4 * len(keys) - 1).bit_length()))
+        self.used += len(keys)
+        while len(keys):  # keys that want the same slot go one after the other
+            slot = self._slots(keys)
+            _, first = np.unique(slot, return_index=True)
+            self.keys[slot[first]], self.moves[slot[first]] = keys[first], moves[first]
+            keys, moves = np.delete(keys, first), np.delete(moves, first)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and changes in the number of tokens."""
+        keys = state << 8 | byte
+        slot = self._slots(keys)
+        missing = self.keys[slot] < 0
+        if missing.any():
+            new = np.unique(keys[missing])
+            self._add(new, np.array([self.compile(k >> 8, k & 255) for k in new.tolist()], np.int64))
+            slot = self._slots(keys)
+        moves = self.moves[slot]
+        return moves >> 16, (moves & 0xFFFF) - 32768
+
+    def run(self, data: np.ndarray, begins: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The maps of chunks: last state and emitted tokens of each, from its entry state; all chunks go in step."""
+        order = np.argsort(-length, kind="stable")
+        start, length, state = start[order], length[order], entry[order].copy()
+        total = np.zeros(len(order), np.int64)
+        going = np.searchsorted(-length, -np.arange(int(length.max()) if len(length) else 0), "left")
+        for k, n in enumerate(going.tolist()):
+            at = start[:n] + k
+            state[:n], emitted = self.step(np.where(begins[at], 0, state[:n]), data[at])
+            total[:n] += emitted
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return state[back], total[back]
+
+    def totals(self, data: np.ndarray, begins: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """Number of tokens before each of ``pieces`` (positions where words begin) and at the end.
+
+        The text is cut into chunks where words begin.  A word of several chunks is cut inside: such a chunk is run from
+        the state that the bytes before it lead to from a fresh start, which is nearly always the true one; if the scan
+        of the maps shows another, the chunk is run again from that.
+        """
+        n = len(data)
+        if not n:
+            return np.zeros(len(pieces) + 1, np.int64)
+        at = np.flatnonzero(begins)
+        first = np.append(True, at[1:] // CHUNK != at[:-1] // CHUNK)
+        first[np.searchsorted(at, pieces)] = True
+        start = at[first]
+        length = np.diff(np.append(start, n))
+        inner = np.maximum(-(-length // CHUNK) - 1, 0) * (length > 4 * CHUNK)
+        if inner.any():
+            owner = np.repeat(np.arange(len(start)), inner + 1)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(inner + 1) - inner - 1, inner + 1)
+            start = start[owner] + nth * CHUNK
+            length = np.diff(np.append(start, n))
+        fresh = begins[start]
+        entry = np.where(fresh, ANY, 0)
+        cut = np.flatnonzero(~fresh)
+        if len(cut):
+            entry[cut] = self.run(data, begins, start[cut] - WARM, np.full(len(cut), WARM), np.zeros(len(cut), np.int64))[0]
+        last, emitted = self.run(data, begins, start, length, np.maximum(entry, 0))
+        while True:
+            fits, sums = scan_maps(entry, last, emitted)
+            wrong = np.flatnonzero(~fits)
+            if not len(wrong):
+                break
+            entry[wrong] = last[wrong - 1]
+            last[wrong], emitted[wrong] = self.run(data, begins, start[wrong], length[wrong], entry[wrong])
+        sums = np.append(0, sums)
+        return np.append(sums[np.searchsorted(start, pieces)], sums[-1])
+
+
+def scan_maps(entry: np.ndarray, last: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix composition of chunk maps (entry state, or ANY; last state; emitted tokens), in log2(n) rounds.
+
+    A map fits if the one before it ends in a state that it takes.  Composed maps add up their tokens.
+    """
+    fits = (entry == ANY) | (entry == np.append(-2, last[:-1]))
+    sums, step = emitted.copy(), 1
+    while step < len(sums):
+        sums[step:] = sums[step:] + sums[:-step]
+        step *= 2
+    return fits, sums
 
 
 class Counter:
@@ -202,49 +286,60 @@ class Counter:
     def __init__(self, path: str):
         merges = load(path)
         self.classes = CharClasses(Tokenizer.from_file(path).pre_tokenizer)
-        self.words = WordCounts(CountTransducer(merges))
+        self.machine = CountTransducer(merges)
         self.added = re.compile("|".join(map(re.escape, sorted(merges.added, key=len, reverse=True))).encode()) if merges.added else None
-
-    def pieces(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte ranges of text between added tokens, and each range's document."""
-        starts, ends, owner = offsets[:-1].tolist(), offsets[1:].tolist(), list(range(len(offsets) - 1))
-        if self.added is None or not self.added.search(data):
-            return np.array(starts, np.int64), np.array(ends, np.int64), np.array(owner, np.int64)
-        out = []
-        for d, (s, e) in enumerate(zip(starts, ends, strict=True)):
-            for m in self.added.finditer(data, s, e):
-                out.append((s, m.start(), d))
-                s = m.end()
-            out.append((s, e, d))
-        return tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
+        self.sliced = not any(c.isspace() for t in merges.added for c in t)
+
+    def pieces(self, data: bytes, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(start, end, document, added tokens before it) of the text between added tokens; long text in slices."""
+        found = self.added is not None and self.added.search(data) is not None
+        for d, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            more = 0
+            if found:
+                for m in self.added.finditer(data, s, e):
+                    yield from self.slices(data, s, m.start(), d, more)
+                    s, more = m.end(), 1
+            yield from self.slices(data, s, e, d, more)
+
+    def slices(self, data: bytes, s: int, e: int, d: int, more: int) -> Iterator[tuple[int, int, int, int]]:
+        """A text of more than SLICE bytes is cut where a letter or digit is followed by a blank: a word always begins."""
+        while self.sliced and e - s > SLICE:
+            m = _CUT.search(data, s + SLICE - 1, e)
+            if m is None:
+                break
+            yield s, m.start() + 1, d, more
+            s, more = m.start() + 1, 0
+        yield s, e, d, more
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n = len(offsets) - 1
-        totals = np.zeros(n, np.int64)
         raw = data.tobytes()
-        start, end, owner = self.pieces(raw, offsets)
-        if len(start) > n:  # each added token splits a document once
-            totals += np.bincount(owner, minlength=n) - 1
-        full = end > start
-        start, end, owner = start[full], end[full], owner[full]
-        if not len(start):
-            return totals
-        if len(start) == n and (start[1:] == end[:-1]).all():
-            body, at = raw, np.append(start, end[-1])
-        else:
-            body = b"".join([raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)])
-            at = np.concatenate([[0], np.cumsum(end - start)])
-        begins = self.word_starts(body, at)
-        cuts = np.append(begins, len(body))
-        got = self.words
-        edges = cuts.tolist()
-        counts = np.fromiter([got[body[a:b]] for a, b in zip(edges, edges[1:], strict=False)], np.int64, len(begins))
-        piece = np.searchsorted(at, begins, "right") - 1
-        totals += np.bincount(owner[piece], counts, n).astype(np.int64)
-        if len(got) >= MOST_WORDS:
-            got.clear()
+        totals = np.zeros(len(offsets) - 1, np.int64)
+        held: list[tuple[int, int, int]] = []
+        size = 0
+        for s, e, d, more in self.pieces(raw, offsets):
+            totals[d] += more
+            if e > s:
+                held.append((s, e, d))
+                size += e - s
+            if size >= SLICE:
+                self._count(raw, held, totals)
+                held.clear()
+                size = 0
+        if held:
+            self._count(raw, held, totals)
         return totals
 
+    def _count(self, raw: bytes, held: list[tuple[int, int, int]], totals: np.ndarray) -> None:
+        start, end, owner = (np.array(x, np.int64) for x in zip(*held, strict=True))
+        body = raw[start[0] : end[-1]] if (start[1:] == end[:-1]).all() else b"".join([raw[s:e] for s, e, _ in held])
+        at = np.concatenate([[0], np.cumsum(end - start)])
+        begins = np.zeros(len(body), bool)
+        begins[self.word_starts(body, at)] = True
+        if len(self.machine.states) > MOST_STATES:
+            self.machine.clear()
+        sums = self.machine.totals(np.frombuffer(body, np.uint8).astype(np.int64), begins, at[:-1])
+        np.add.at(totals, owner, np.diff(sums))
+
     def word_starts(self, body: bytes, at: np.ndarray) -> np.ndarray:
         """Byte positions where words begin; ``at``: where pieces begin, and the end."""
         points = np.frombuffer(body.decode("utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -292,9 +387,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, over: int = OVER) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_arrays(batch.column(1), "counts")
-            count = counter(tokenizer).count
-            tokens = [count(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in row_blocks(offsets)]
-            tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+            tokens = counter(tokenizer).count(data, offsets)
             yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > over)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

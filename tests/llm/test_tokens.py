@@ -29,15 +29,43 @@ def test_counts_equal_the_library():
     assert got.tolist() == [len(e.ids) for e in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
 
 
-def test_state_limits_change_nothing(monkeypatch):
-    monkeypatch.setattr(token_counts, "MOST_STATES", 40)
-    machine = token_counts.CountTransducer(bpe.load(BYTE))
-    library = Tokenizer.from_file(BYTE)
-    for word in random_texts(300, 1) + ["thereingson" * 200]:
-        word = "".join(word.split()) or "x"
-        ids = machine.merges.merge(machine.merges.symbols(word.encode()))
-        assert machine.count(word.encode()) == len(ids)
-    assert library.encode("there", add_special_tokens=False).ids == machine.merges.merge(machine.merges.symbols(b"there"))
+@pytest.mark.parametrize("chunk,warm,size,states", [(4, 2, 64, 40), (7, 1, 1 << 20, 10**6), (256, 48, 300, 500)])
+def test_chunks_and_slices_change_nothing(monkeypatch, chunk, warm, size, states):
+    """Words of many chunks, wrong guesses of entry states, texts in slices, dropped states."""
+    for name, value in (("CHUNK", chunk), ("WARM", warm), ("SLICE", size), ("MOST_STATES", states)):
+        monkeypatch.setattr(token_counts, name, value)
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = random_texts(300, 1) + ["thereingson" * 200, "z" * 3000, " ".join("".join(rng.choice("aeinorst") for _ in range(90)) for _ in range(60)), "a " * 700 + "<|endoftext|>" + "b\n" * 500, "", "x"]
+    data, offsets = text_arrays(pa.array(texts))
+    counter = token_counts.Counter(BYTE)
+    want = [len(e.ids) for e in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(data, offsets).tolist() == want
+    assert counter.count(data, offsets).tolist() == want
+
+
+def test_chunk_maps_compose():
+    """The scan tells which chunks were run from a state that the chunk before doesn't end in, and adds up the counts."""
+    fits, sums = token_counts.scan_maps(np.array([token_counts.ANY, 5, 7, token_counts.ANY, 2]), np.array([5, 6, 1, 2, 9]), np.array([1, 2, 3, 4, 5]))
+    assert fits.tolist() == [True, True, False, True, True] and sums.tolist() == [1, 3, 6, 10, 15]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_pairs_are_decided_as_by_merging(path):
+    rng = random.Random(5)
+    m = bpe.load(path)
+    table = bpe.PairTable(m)
+    own = [i for i in m.token_bytes if table.stands(i)]
+    inner = [i for i in own if not m.ends[i]]
+    pairs = [(rng.choice(inner), rng.choice(own)) for _ in range(3000)] + [(i, i) for i in rng.sample(inner, 500)]
+    for t in rng.sample([i for i in own if len(m.token_bytes[i]) > 1], 3000):  # parts that a token was cut into
+        raw = m.token_bytes[t]
+        k = rng.randint(1, len(raw) - 1)
+        a, b = m.merge(m.symbols(raw[:k], False))[-1], m.merge(m.symbols(raw[k:], m.ends[t]))[0]
+        if table.stands(a) and table.stands(b):
+            pairs.append((a, b))
+    assert [table.decided(a, b) for a, b in pairs] == [table.merged_alike(a, b) for a, b in pairs]
 
 
 def test_prefix_scan_composes():
