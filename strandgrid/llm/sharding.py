@@ -6,8 +6,9 @@ A changed weight changes only that child's draw: rows move between that subtree
 
 A shard added to a full tree comes as a region of its own (``tree``), so it takes rows only into itself: law ``key``.
 
-Defined cases: null text has size 1 and the checksum of the empty string; null ids share one draw; repeated rows get
-the same shard and different slots; an empty table gives no rows.
+Defined cases: null text has size 1 and the checksum of the empty string; null ids share one draw, that of the id -2^62;
+rows that repeat an id get the same shard and different slots; of equal draws the child that is named first wins; a
+child without weight gets no rows; texts of any length are only measured; an empty table gives no rows.
 """
 
 from __future__ import annotations

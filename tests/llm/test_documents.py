@@ -1,7 +1,9 @@
 """Operators 3, 5, 9, 10 and the pipeline against plain models."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,6 +161,108 @@ def test_classifier(spark, tmp_path):
     assert np.mean([(good > b).mean() for b in bad]) >= 0.97
 
 
+BLANKS = " \t\n\v\f\r"
+WRAP = 2**64
+
+
+def plain_bucket(h: int, kind: int) -> int:
+    mix = 0x9E3779B97F4A7C15
+    h = ((h ^ h >> 29) * mix + kind * 0x632BE59BD9B4E019) % WRAP
+    return (h ^ h >> 32) * mix % WRAP >> 64 - quality_classifier.BUCKETS_LOG2
+
+
+def plain_features(text: str | None) -> Counter:
+    """Words, word pairs and character n-grams of marked words, one at a time."""
+    step, mix = 0x100000001B3, 0x9E3779B97F4A7C15
+    out, hashes = Counter(), []
+    for word in re.findall(f"[^{BLANKS}]+", text or ""):
+        marked = [1, *(ord(c) + 3 for c in word), 2]
+        h = sum(x * pow(step, i, WRAP) for i, x in enumerate(marked)) % WRAP
+        hashes.append((h ^ h >> 31) * mix % WRAP)
+        out[plain_bucket(hashes[-1], 1)] += 1
+        for k in (3, 4, 5):
+            for i in range(len(marked) - k + 1):
+                h = 0
+                for x in marked[i : i + k]:
+                    h = (h * step + x) % WRAP
+                out[plain_bucket(h, k)] += 1
+    for a, b in zip(hashes, hashes[1:], strict=False):
+        out[plain_bucket((b - a) % WRAP, 2)] += 1
+    return out
+
+
+def plain_train(texts, labels):
+    """The same descent in double precision, document by document."""
+    q = quality_classifier
+    rng = np.random.default_rng(q.SEED)
+    vectors = rng.uniform(-1 / q.DIM, 1 / q.DIM, (1 << q.BUCKETS_LOG2, q.DIM)).astype(np.float32).astype(float)
+    output, bias, share = np.zeros((q.DIM, 2)), np.zeros(2), sum(labels) / len(labels)
+    epochs = max(q.EPOCHS, -(-q.LEAST_STEPS // len(labels)))
+    done = 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(labels)):
+            found = plain_features(texts[i])
+            total = sum(found.values())
+            rate = q.RATE * (1 - done / (epochs * len(labels)))
+            done += 1
+            hidden = sum((n / total * vectors[b] for b, n in found.items()), np.zeros(q.DIM))
+            z = hidden @ output + bias
+            p = np.exp(z) / np.exp(z).sum()
+            p[labels[i]] -= 1
+            error = p * (0.5 / share if labels[i] else 0.5 / (1 - share))
+            back = output @ error
+            output -= rate * np.outer(hidden, error)
+            bias -= rate * error
+            for b, n in found.items():
+                vectors[b] -= rate * (n / total) ** 0.5 * back
+    return vectors @ (output[:, 1] - output[:, 0]), bias[1] - bias[0]
+
+
+def test_features_against_a_plain_model():
+    texts = [t or "" for t in odd_texts()]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(r) for r in raw])
+    found = [Counter() for _ in texts]
+    for ids, doc in quality_classifier.features(np.frombuffer(b"".join(raw), np.uint8), offsets):
+        assert (np.diff(doc) >= 0).all()
+        for b, d in zip(ids.tolist(), doc.tolist(), strict=True):
+            found[d][b] += 1
+    assert found == [plain_features(t) for t in texts]
+
+
+def test_training_and_scores_against_a_plain_model(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "LEAST_STEPS", 60)
+    monkeypatch.setattr(quality_classifier, "EPOCHS", 2)
+    texts = [*odd_texts()[:12], "good words are here", "Bad!! w0rds ???", None, "   "]
+    labels = [k % 3 % 2 for k in range(len(texts))]
+    model, (weight, bias) = quality_classifier.train(texts, labels), plain_train(texts, labels)
+    assert np.allclose(model.weight, weight, atol=1e-4) and abs(model.bias - bias) < 1e-4
+    for t in odd_texts():
+        found = plain_features(t)
+        z = bias + sum(weight[b] * n for b, n in found.items()) / max(1, sum(found.values()))
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        whole = model.score(raw, np.array([0, len(raw)]))[0]
+        assert abs(whole - 1 / (1 + np.exp(-z))) < 1e-4
+        for most in (40, 300):  # in slices
+            assert abs(model.score(raw, np.array([0, len(raw)]), most)[0] - whole) < 1e-9
+        if not found:
+            assert whole == 1 / (1 + np.exp(-model.bias))
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(d, "x" * (50 if d % 2 else 10)) for d in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, quality int")
+    seen = []
+    train = quality_classifier.train
+    try:
+        quality_classifier.train = lambda texts, labels: seen.append(texts)
+        quality_classifier.fit(docs, labels, most_bytes=200)
+        quality_classifier.fit(docs, labels)
+    finally:
+        quality_classifier.train = train
+    assert 150 < sum(map(len, seen[0])) <= 200 and len(seen[1]) == sum(zlib.crc32(str(d).encode()) % 5 != 0 for d in range(40))
+
+
 def test_classifier_edges(spark, tmp_path):
     texts = odd_texts()
     docs = documents(spark, texts)
@@ -166,8 +270,14 @@ def test_classifier_edges(spark, tmp_path):
         sf = saved(spark, tmp_path / str(len(labels)), documents=docs, labels=spark.createDataFrame(labels, "doc_id long, quality int"))
         got = QUERIES["op9_subword_quality"](spark, sf).toPandas()
         assert len(got) == len(texts) and got.score.between(0, 1).all()
-    kept = quality_classifier.keep_quality(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    kept = quality_classifier.keep_quality(docs, none)
     assert kept.columns == docs.columns and kept.count() == len(texts)
+    sf = saved(spark, tmp_path / "e", documents=docs.limit(0), labels=spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert QUERIES["op9_subword_quality"](spark, sf).collect() == []
+    twice = saved(spark, tmp_path / "t", documents=docs.unionByName(docs), labels=spark.createDataFrame([(16, 1), (17, 0), (18, 1)], "doc_id long, quality int"))
+    got = QUERIES["op9_subword_quality"](spark, twice).toPandas()
+    assert len(got) == 2 * len(texts) and (got.groupby("doc_id").score.nunique() == 1).all()
 
 
 def test_held_out_labels_are_not_learned_from(spark):

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from support import documents, odd_texts, saved
 
 from strandgrid.llm import chat_windows, hash_forest, sharding, url_filter
@@ -96,6 +98,34 @@ def test_shards(spark, tmp_path):
     assert QUERIES["op6_hash_tree_shards"](spark, empty).collect() == []
 
 
+def plain_shard(key: int, node: sharding.Node) -> int:
+    """The descent, one weighted draw after the other."""
+    while node.shard < 0:
+        draws = []
+        for i, c in enumerate(node.children):
+            if c.weight > 0:
+                h = xxhash.xxh64_intdigest(c.name.encode(), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+                draws.append((-math.log(((h >> 11) + 1) * 2.0**-53) / c.weight, i))
+        node = node.children[min(draws)[1]]
+    return node.shard
+
+
+def test_every_row_against_a_plain_descent(spark):
+    weights = sharding.inner("w", [sharding.Node("a", 0.0, (), 0), sharding.inner("b", [sharding.Node("c", 0.25, (), 1), sharding.Node("d", 3.0, (), 2)]), sharding.Node("e", 2.0, (), 3)])
+    ids = [None, 0, -1, 2**62, -(2**63), *range(1, 3000, 7)]
+    docs = spark.createDataFrame([(i, "é" * 100_000 if k == 5 else None if k % 5 == 0 else f"t{k % 3}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    for now, grown in ((sharding.tree(16), sharding.tree(17)), (weights, sharding.tree(3))):
+        rows = sharding.assign_shards(docs, now, grown).collect()
+        assert len(rows) == len(ids)
+        slots = defaultdict(list)
+        for r in rows:
+            key = -(2**62) if r["doc_id"] is None else r["doc_id"]
+            assert (r["shard"], r["grown_shard"]) == (plain_shard(key, now), plain_shard(key, grown))
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(r["size"] for r in rows) == 200_001
+
+
 def test_shard_shares_and_growth(spark):
     ids = spark.range(40_000).select(sharding.F.col("id").alias("doc_id"), sharding.F.lit(None).cast("string").alias("text"))
     for n in (16, 17, 18):
