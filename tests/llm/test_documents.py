@@ -6,11 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from support import documents, leaks, link_components, odd_texts, repeats, saved, sha, shingles
 
 import corpus_pipeline
 from strandgrid.llm import fm_decontamination, quality_classifier, signature_join, suffix_dedup
+from strandgrid.llm._common import text_arrays
 from strandgrid.llm._graph import components, id_filter
 from strandgrid.llm.entries import QUERIES
 
@@ -22,7 +24,12 @@ def bench(spark, items):
 # 3
 
 
-def test_fm_index_against_plain_search():
+@pytest.mark.parametrize("size,index,together", [(None, None, None), (16, 20, 3)])
+def test_fm_index_against_plain_search(monkeypatch, size, index, together):
+    """Also with texts in slices, stretches in parts and windows in groups."""
+    if size:
+        for name, value in (("SLICE", size), ("INDEX", index), ("TOGETHER", together)):
+            monkeypatch.setattr(fm_decontamination, name, value)
     rng = random.Random(1)
     for _ in range(40):
         alphabet = ["a", "b", "B", "é", "c1"][: rng.randint(1, 5)]
@@ -30,8 +37,10 @@ def test_fm_index_against_plain_search():
         items = [(i, text(rng.randint(0, 14))) for i in range(6)] + [(2, text(9)), (None, text(8)), (7, None)]
         docs = [text(rng.randint(0, 60)) for _ in range(10)] + [None, ""]
         phrases = fm_decontamination.Phrases([(i, (t or "").encode()) for i, t in items])
-        counts, spans, found = fm_decontamination.document_hits(phrases, [(t or "").encode() for t in docs])
-        got = [(n, int((s[:, 1] - s[:, 0]).sum()), tuple(sorted(f))) for n, s, f in zip(counts, spans, found, strict=True)]
+        data, offsets = text_arrays(pa.array(docs, pa.string()))
+        hits = fm_decontamination.document_hits(phrases, data, offsets)
+        spans, found = hits.lists()
+        got = [(n, sum(x["after"] - x["first"] for x in s), tuple(f)) for n, s, f in zip(hits.counts.tolist(), spans.to_pylist(), found.to_pylist(), strict=True)]
         assert got == leaks(items, docs)
 
 
@@ -53,8 +62,8 @@ def test_leaks_query(spark, tmp_path, monkeypatch):
     texts = [*odd_texts(), "xx the Stone, river of and the naïve stone over. yy one two three", "one two", "a one two three b"]
     sf = saved(spark, tmp_path, documents=documents(spark, texts), benchmark=bench(spark, ITEMS))
     want = leaks(ITEMS, texts)
-    for most in (fm_decontamination.PASS_BYTES, 30):
-        monkeypatch.setattr(fm_decontamination.benchmark_passes, "__defaults__", ("item_id", most))
+    for most in (fm_decontamination.PASS_BYTES, 60, 14):
+        monkeypatch.setattr(fm_decontamination, "PASS_BYTES", most)
         got = {r["doc_id"]: r for r in QUERIES["op3_fm_index_leaks"](spark, sf).collect()}
         for k, (n, hit, items) in enumerate(want):
             r = got[k]
@@ -62,6 +71,19 @@ def test_leaks_query(spark, tmp_path, monkeypatch):
             assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"], r["items_sha256"]) == (n, hit, len(items), len(items) >= 2, sha(names.encode()))
     none = saved(spark, tmp_path / "n", documents=documents(spark, texts), benchmark=bench(spark, ITEMS).limit(0))
     assert all(r["n_hit"] == 0 for r in QUERIES["op3_fm_index_leaks"](spark, none).collect())
+    twice = saved(spark, tmp_path / "t", documents=documents(spark, texts).unionByName(documents(spark, texts[::-1])), benchmark=bench(spark, ITEMS))
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"]) for r in QUERIES["op3_fm_index_leaks"](spark, twice).collect())
+    assert got == Counter([(k, *w[:2]) for k, w in enumerate(want)] + [(k, *w[:2]) for k, w in enumerate(want[::-1])])
+    empty = saved(spark, tmp_path / "e", documents=documents(spark, texts).limit(0), benchmark=bench(spark, ITEMS))
+    assert QUERIES["op3_fm_index_leaks"](spark, empty).collect() == []
+
+
+def test_memory_of_phrases():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(30_000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(200)).encode()) for k in range(800)]
+    phrases = fm_decontamination.Phrases(items)
+    assert phrases.nbytes() <= 5 * sum(len(t) for _, t in items)
 
 
 def test_leaks_are_cut(spark):
@@ -76,15 +98,15 @@ def test_passes_cut_as_one(spark, monkeypatch):
     items = [(1, "one two three"), (2, "three four x y z w v"), (3, "p q"), (4, "alpha beta gamma delta epsilon"), (4, "omega psi chi")]
     texts = ["i one two three j three four x y z w v k", "i one two three four x y z w v k", "p One, two three. q", "alpha beta gamma delta epsilon / omega psi chi end", "clean", None, ""]
     docs = documents(spark, texts)
-    got = {}
+    got, whole = {}, fm_decontamination.PASS_BYTES
     for limit in (2, 3):
-        for most in (fm_decontamination.PASS_BYTES, 30):
-            monkeypatch.setattr(fm_decontamination.benchmark_passes, "__defaults__", ("item_id", most))
-            assert len(fm_decontamination.benchmark_passes(bench(spark, items))) == (1 if most > 30 else 4)
+        for most in (whole, 30, 14):
+            monkeypatch.setattr(fm_decontamination, "PASS_BYTES", most)
+            assert fm_decontamination.benchmark_passes(bench(spark, items))[1] == {whole: 1, 30: 3, 14: 6}[most]
             df = fm_decontamination.without_leaks(docs, bench(spark, items), limit=limit)
             assert df.schema.simpleString() == docs.schema.simpleString()
             got[limit, most] = sorted(map(tuple, df.collect()))
-        assert got[limit, 30] == got[limit, fm_decontamination.PASS_BYTES]
+        assert got[limit, 30] == got[limit, 14] == got[limit, whole]
     cut = {r[0]: r[1] for r in got[2, 30]}
     assert cut == {2: "p . q", 3: " end", 4: "clean", 5: None, 6: ""}
     assert {r[0]: r[1] for r in got[3, 30]} == cut | {0: "i  j  k", 1: "i  k"}
