@@ -4,25 +4,26 @@ Suffixes are indexed at anchors only.  The anchor of a LENGTH-byte window is the
 it, a function of the window's content: two equal windows have their anchors at the same place, so comparing the
 anchors of one gram with each other finds every repeated window.  An anchor owns the windows that chose it.
 
-1. Every distinct text gives its anchors: hash of the gram, hash of all bytes its windows cover.  Anchors that agree in
-   both are repeated as a whole.  A task sends on at most two that agree, so copies never pile up.
-2. Anchors that agree in the gram only are compared in detail, with the bytes around them, by a logarithmic family of
-   suffix arrays (``SuffixFamily``): each batch of anchored suffixes is sorted into an array, merge-scanned against
-   every level, and levels of equal size are merged.
+1. Every distinct text gives its anchors: hash of the gram, hash of all bytes its windows cover (its whole).
+2. Of the anchors of a gram that stands in several places, two of each whole are compared by a logarithmic family of
+   suffix arrays (``SuffixFamily``), with the bytes around them: each batch of anchored suffixes becomes an array of
+   them sorted by the bytes after the gram, and one sorted by the bytes before it; both are merged with every level, two
+   sorted runs at a time, and scanned for windows that two suffixes share; levels of equal size are merged.  Further
+   anchors of a whole lie in the same passage and follow without being compared again, so copies never pile up.
 3. The intervals found are joined to the texts, merged and removed.
 
-Grams beyond HOT different surroundings go by window instead: each window is hashed whole and counted by the hash, so
-that no task holds all surroundings of one gram.  A task that meets HOT / 16 of them sends them that way at once, and
-only a marker to where the gram's other anchors meet.
+A gram may stand in very many different surroundings.  While the anchors are made, they are counted by gram in a sketch
+of fixed size, over all texts; its only effect is where anchors go: the grams of a high counter (more than HOT and
+HOT_TIMES the mean) never meet in one task.  Their windows are hashed whole and counted by the hash.
 
 Defined cases: null is the empty text; texts shorter than LENGTH lose nothing; a text that occurs in several rows is
-lost whole if it has LENGTH bytes; texts of any length are whole; repeated rows and ids count as rows of their own;
-an empty table gives no rows.
+lost whole if it has LENGTH bytes; texts of any length are whole, their anchors are made in slices of SLICE bytes;
+rows that repeat a text or an id count as rows of their own; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +34,17 @@ from pyspark.sql import functions as F
 from strandgrid.llm._common import drop_written, id_text, row_blocks, table, text_arrays, written
 
 LENGTH, GRAM = 200, 64
-#: Most different surroundings of one gram that are compared in one task.
-HOT = 50_000
+#: Counters of the sketch, and those sent in one row.  A counter is high from HOT + HOT_TIMES times the mean.
+COUNTERS, CHUNK = 1 << 22, 1 << 16
+HOT, HOT_TIMES = 50_000, 8
 #: Anchors in a batch of the family, and in a partition.
 BATCH, PARTITION = 30_000, 90_000
 #: Bytes of anchors that a task holds before it sends them on, and that a bucket should hold.
 FLUSH_BYTES, BUCKET_BYTES = 24 << 20, 16 << 20
+#: Rows of a packed blob; a reader holds some thousands of blobs.
+PIECE = 512
+#: Bytes of a long text whose anchors are made at once.
+SLICE = 1 << 20
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -85,6 +91,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, offsets: np.ndarray, text: np.ndarray) -> np.ndarray:
     """The ANCHOR rows of each text of a block."""
+    if len(offsets) == 2 and len(data) > SLICE + LENGTH:
+        return long_anchors(data, int(text[0]))
     sizes = np.diff(offsets)
     windows = np.maximum(sizes - LENGTH + 1, 0)
     if not windows.any():
@@ -106,6 +114,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray, text: np.ndarray) -> np.ndarr
     return out
 
 
+def long_anchors(data: np.ndarray, text: int) -> np.ndarray:
+    """The anchors of one long text, by slices that overlap by a window less a byte.  An anchor that owns windows of two
+    slices stands twice, each time with the windows of one."""
+    out = []
+    for at in range(0, len(data) - LENGTH + 1, SLICE):
+        part = data[at : at + SLICE + LENGTH - 1]
+        own = anchors(part, np.array([0, len(part)]), np.array([text]))
+        own["at"] += at
+        out.append(own)
+    found = np.concatenate(out)
+    found["size"] = len(data)
+    return found
+
+
 def groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, group number of each row in that order) of equal rows."""
     order = np.lexsort(columns[::-1])
@@ -147,50 +169,44 @@ def found_rows(kind: int, text, size, a, b, c=None, gram=None) -> pa.RecordBatch
 
 _FOUND = "kind int, text long, size int, a int, b int, c int, gram long"
 INTERVAL, DETAIL, BY_WINDOW = 0, 1, 2
-#: In place of a size: the anchor only says that its gram is hot.
-MARK = -1
+#: Kinds of the rows that packed_anchors gives.
+ANCHORS, SURE, COUNTS = 0, 1, 2
+
+
+def counter_of(gram: np.ndarray) -> np.ndarray:
+    return (gram & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def of_each(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ANCHOR rows in the order of gram, whole and place, each place once, and each row's number among its whole."""
+    order, place = groups(rows["gram"], rows["whole"], rows["text"], rows["size"], rows["at"])
+    rows = rows[order][np.append(True, place[1:] != place[:-1])] if len(rows) else rows
+    new = np.append(True, (rows["gram"][1:] != rows["gram"][:-1]) | (rows["whole"][1:] != rows["whole"][:-1]))[: len(rows)]
+    first = np.flatnonzero(new)
+    return rows, np.arange(len(rows)) - first[np.cumsum(new) - 1] if len(rows) else np.zeros(0, np.int64)
 
 
-def packed_anchors(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """(bucket, blob) of ``docs``: ANCHOR rows by gram (bucket from 0), those of grams that are hot already (bucket from
-    ``buckets``), and intervals that are certain already (bucket below 0)."""
-    limit = max(1, hot // 16)
+def sure_intervals(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    return merged(rows["text"], rows["size"].astype(np.int64), *covered(rows))
+
+
+def packed_anchors(docs: DataFrame) -> DataFrame:
+    """kind, chunk, n, blob.  ANCHORS: packed ANCHOR rows, at most two of a whole and flush.  SURE: intervals of further
+    ones.  COUNTS: a chunk of a task's counters, by gram, and how many anchors it has counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         kept: list[np.ndarray] = []
         size = 0
+        counts = np.zeros(COUNTERS, np.uint32)
 
         def flush() -> pa.RecordBatch:
-            rows = np.concatenate(kept) if kept else np.zeros(0, ANCHOR)
-            order, group = groups(rows["gram"], rows["whole"])
-            rows = rows[order]
-            many = np.bincount(group, minlength=1)
-            first = np.concatenate([[0], np.cumsum(many)[:-1]])
-            rank = np.arange(len(rows)) - first[group] if len(rows) else group
-            extra = rank >= 2  # certainly repeated; two stand for them
-            start, end = covered(rows[extra])
-            sure = np.stack(merged(rows["text"][extra], rows["size"][extra].astype(np.int64), start, end), 1).astype(np.int64)
-            rows = rows[~extra]
-            gram, whole = rows["gram"], rows["whole"]
-            new_gram = np.append(True, gram[1:] != gram[:-1]) if len(rows) else np.zeros(0, bool)
-            new_whole = np.append(True, whole[1:] != whole[:-1]) | new_gram if len(rows) else new_gram
-            of_gram = np.cumsum(new_gram) - 1
-            crowded = np.bincount(of_gram[new_whole], minlength=1)[of_gram] > limit if len(rows) else new_gram
-            marks = rows[crowded & new_gram].copy()
-            marks["size"] = MARK
-            away = rows[crowded]
-            where = np.concatenate([(x % np.uint64(buckets)).astype(np.int64) + up for x, up in ((gram[~crowded], 0), (marks["gram"], 0), (away["whole"], buckets))])
-            rows = np.concatenate([rows[~crowded], marks, away])
-            order = np.argsort(where, kind="stable")
-            rows, where = rows[order], where[order]
-            cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-            blobs = [rows[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=False)]
-            names = where[cut].tolist()
-            if len(sure):
-                names.append(-1 - int(sure[0, 0]) % buckets)
-                blobs.append(sure.tobytes())
-            return pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            rows, nth = of_each(np.concatenate(kept) if kept else np.zeros(0, ANCHOR))
+            np.add.at(counts, counter_of(rows["gram"][nth == 0]), 1)
+            sure = np.stack(sure_intervals(rows[nth >= 2]), 1).astype(np.int64)
+            blobs = [(kind, x[k : k + PIECE].tobytes()) for kind, x in ((ANCHORS, rows[nth < 2]), (SURE, sure)) for k in range(0, len(x), PIECE)]
+            n = [int((nth == 0).sum())] + [0] * (len(blobs) - 1)
+            return packed_rows([k for k, _ in blobs], [None] * len(blobs), n[: len(blobs)], [x for _, x in blobs])
 
         for batch in batches:
             keys, sizes = batch.column("key").to_numpy(), batch.column("size").to_numpy()
@@ -206,63 +222,117 @@ def packed_anchors(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
                     kept.clear()
                     size = 0
         yield flush()
+        parts = counts.reshape(-1, CHUNK)
+        full = np.flatnonzero(parts.any(axis=1)).tolist()
+        yield packed_rows([COUNTS] * len(full), full, [0] * len(full), [zlib.compress(parts[k].tobytes(), 1) for k in full])
+
+    return docs.select("key", "size", "text").mapInArrow(run, "kind int, chunk int, n long, blob binary")
+
 
-    return docs.select("key", "size", "text").mapInArrow(run, "bucket int, blob binary")
+def packed_rows(kind: list, chunk: list, n: list, blob: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(kind, pa.int32()), pa.array(chunk, pa.int32()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], ["kind", "chunk", "n", "blob"])
 
 
-def compare_anchors(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """Intervals of anchors that are repeated whole, and the anchors to compare in detail or by window."""
+def high_counters(packed: DataFrame, number: int, hot: int) -> np.ndarray:
+    """Whether each counter of the sketch is high: a bit each, whatever the input."""
+    limit = hot + HOT_TIMES * number / COUNTERS
+
+    def total(t: pa.Table) -> pa.Table:
+        out = np.zeros(CHUNK, np.uint64)
+        for x in t.column("blob").to_pylist():
+            out += np.frombuffer(zlib.decompress(x), np.uint32)
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "blob": [np.packbits(out > limit).tobytes()]})
+
+    high = np.zeros((COUNTERS // CHUNK, CHUNK), bool)
+    for r in packed.where(f"kind = {COUNTS}").select("chunk", "blob").groupBy("chunk").applyInArrow(total, "chunk int, blob binary").collect():
+        high[r["chunk"]] = np.unpackbits(np.frombuffer(r["blob"], np.uint8))
+    return high.ravel()
+
+
+def dealt(packed: DataFrame, buckets: int, high: np.ndarray) -> DataFrame:
+    """(bucket, blob): ANCHOR rows by gram (bucket from 0), those of high counters by whole (bucket from ``buckets``),
+    intervals (bucket below 0)."""
+    held = packed.sparkSession.sparkContext.broadcast(np.packbits(high))
+
+    def split(rows: np.ndarray, where: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(where, kind="stable")
+        rows, where = rows[order], where[order]
+        cut = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        blobs = [rows[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True)]
+        return pa.record_batch([pa.array(where[cut], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high = np.unpackbits(held.value).astype(bool)
+        kept: dict[int, list[bytes]] = {ANCHORS: [], SURE: []}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows, sure = np.frombuffer(b"".join(kept[ANCHORS]), ANCHOR), np.frombuffer(b"".join(kept[SURE]), np.int64).reshape(-1, 4)
+            kept[ANCHORS].clear()
+            kept[SURE].clear()
+            if len(rows):
+                apart = high[counter_of(rows["gram"])]
+                yield split(rows, (np.where(apart, rows["whole"], rows["gram"]) % np.uint64(buckets)).astype(np.int64) + buckets * apart)
+            if len(sure):
+                yield split(sure, -1 - (sure[:, 0] % buckets))
+
+        size = 0
+        for batch in batches:
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                kept[kind].append(blob)
+                size += len(blob)
+                if size > FLUSH_BYTES:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return packed.where(f"kind <> {COUNTS}").select("kind", "blob").mapInArrow(run, "bucket int, blob binary")
+
+
+def compare_anchors(rows: DataFrame, buckets: int) -> DataFrame:
+    """The anchors to compare in detail (two of each whole, if their gram stands in several places) or by window, and the
+    intervals of further ones."""
 
     def run(t: pa.Table) -> pa.Table:
-        blob = b"".join(t.column("blob").to_pylist())
         bucket = t.column("bucket")[0].as_py()
-        if bucket >= buckets:
-            x = np.unique(np.frombuffer(blob, ANCHOR))
-            return pa.Table.from_batches([found_rows(BY_WINDOW, x["text"], x["size"], x["at"], x["far"], x["near"], x["gram"])])
+        blob = b"".join(t.column("blob").to_pylist())
         if bucket < 0:
             x = np.frombuffer(blob, np.int64).reshape(-1, 4)
             return pa.Table.from_batches([found_rows(INTERVAL, x[:, 0], x[:, 1], x[:, 2], x[:, 3])])
-        rows = np.frombuffer(blob, ANCHOR)
-        marked = rows["size"] == MARK
-        hot_grams, rows = np.unique(rows["gram"][marked]), rows[~marked]
-        if not len(rows):
-            return pa.Table.from_batches([found_rows(INTERVAL, *[np.zeros(0, np.int64)] * 4)])
-        order, place = groups(rows["gram"], rows["whole"], rows["text"], rows["size"], rows["at"])
-        rows = rows[order][np.append(True, place[1:] != place[:-1])]  # copies of a text in several tasks
-        gram, whole = rows["gram"], rows["whole"]
-        new_gram = np.append(True, gram[1:] != gram[:-1])
-        new_whole = new_gram | np.append(True, whole[1:] != whole[:-1])
-        of_whole, of_gram = np.cumsum(new_whole) - 1, np.cumsum(new_gram) - 1
-        repeated = np.bincount(of_whole)[of_whole] > 1
-        start, end = covered(rows[repeated])
-        sure = merged(rows["text"][repeated], rows["size"][repeated].astype(np.int64), start, end)
-        kinds = np.bincount(of_gram[new_whole])[of_gram]  # different surroundings of the gram
-        elsewhere = np.isin(gram, hot_grams)
-        ask, by_window = new_whole & ((kinds > 1) | elsewhere), (kinds > hot) | elsewhere
-        out = [found_rows(INTERVAL, *sure)]
-        for kind, own in ((DETAIL, ask & ~by_window), (BY_WINDOW, ask & by_window)):
-            x = rows[own]
-            out.append(found_rows(kind, x["text"], x["size"], x["at"], x["far"], x["near"], x["gram"]))
-        # a whole that is repeated and compared: what is found for its first anchor holds for windows that all share
+        rows, nth = of_each(np.frombuffer(blob, ANCHOR))
+        asked, further = rows[nth < 2], rows[nth >= 2]
+        kind = BY_WINDOW
+        if bucket < buckets:
+            gram, kind = asked["gram"], DETAIL
+            new = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
+            of_gram = np.cumsum(new) - 1
+            asked = asked[np.bincount(of_gram, minlength=1)[of_gram] > 1]
+        out = [found_rows(INTERVAL, *sure_intervals(further)), found_rows(kind, asked["text"], asked["size"], asked["at"], asked["far"], asked["near"], asked["gram"])]
         return pa.Table.from_batches(out)
 
-    return packed.groupBy("bucket").applyInArrow(run, _FOUND)
+    return rows.groupBy("bucket").applyInArrow(run, _FOUND)
 
 
-class Level:
-    """A suffix array: anchored suffixes in the order of gram and bytes after it, with the bytes before it."""
+def interleaved(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``b`` put to the places ``at`` of the result, ``a`` to the others."""
+    out = np.empty((len(a) + len(b), *a.shape[1:]), a.dtype)
+    mine = np.ones(len(out), bool)
+    mine[at] = False
+    out[mine], out[at] = a, b
+    return out
 
-    def __init__(self, gram, after, before, far, near, row):
-        order = self.order(gram, after)
-        self.gram, self.after, self.before = gram[order], after[order], before[order]
-        self.far, self.near, self.row = far[order], near[order], row[order]
+
+class Sorted:
+    """Anchored suffixes in the order of gram and bytes on one side of it; ``row``: their numbers."""
+
+    def __init__(self, key: np.ndarray, row: np.ndarray):
+        self.key, self.row = key, row
 
     @staticmethod
-    def order(gram: np.ndarray, after: np.ndarray) -> np.ndarray:
+    def of(gram: np.ndarray, side: np.ndarray, row: np.ndarray) -> "Sorted":
         """By gram, then eight bytes more in each round; only suffixes that still tie are sorted again."""
         order = np.argsort(gram, kind="stable")
         head = np.append(True, gram[order[1:]] != gram[order[:-1]])
-        words = np.ascontiguousarray(after).view(">u8")
+        words = np.ascontiguousarray(side).view(">u8")
         for c in range(words.shape[1]):
             at = np.flatnonzero(~(head & np.append(head[1:], True)))
             if not len(at):
@@ -272,11 +342,35 @@ class Level:
             again = np.lexsort((value, group))
             order[at], value = order[at][again], value[again]
             head[at] = np.append(True, (group[1:] != group[:-1]) | (value[1:] != value[:-1]))
-        return order
+        # one byte string each, compared as such; the last byte keeps zeros before it from being dropped
+        key = np.empty((len(order), 8 + side.shape[1] + 1), np.uint8)
+        key[:, :8] = np.ascontiguousarray(gram[order].astype(">u8")).view(np.uint8).reshape(-1, 8)
+        key[:, 8:-1], key[:, -1] = side[order], 1
+        return Sorted(key, row[order])
 
-    @staticmethod
-    def joined(a: "Level", b: "Level") -> "Level":
-        return Level(*(np.concatenate([getattr(a, k), getattr(b, k)]) for k in ("gram", "after", "before", "far", "near", "row")))
+    def strings(self) -> np.ndarray:
+        return self.key.view(f"S{self.key.shape[1]}").ravel()
+
+    def merge(self, other: "Sorted") -> "Sorted":
+        """Two sorted runs as one: the place of each of ``other`` among ours is found by binary search."""
+        at = np.searchsorted(self.strings(), other.strings(), "right") + np.arange(len(other.row))
+        return Sorted(interleaved(self.key, other.key, at), interleaved(self.row, other.row, at))
+
+    def common(self) -> np.ndarray:
+        """Bytes that each suffix shares with the one before it on this side, from the gram on; -1: another gram."""
+        differ = self.key[1:, 8:-1] != self.key[:-1, 8:-1]
+        out = np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1])
+        return np.where((self.key[1:, :8] == self.key[:-1, :8]).all(axis=1), out, -1)
+
+
+class Level:
+    """A suffix array (by the bytes after the gram) and the same of the text read backward (by the bytes before it)."""
+
+    def __init__(self, after: Sorted, before: Sorted):
+        self.after, self.before = after, before
+
+    def merge(self, other: "Level") -> "Level":
+        return Level(self.after.merge(other.after), self.before.merge(other.before))
 
 
 class SuffixFamily:
@@ -285,41 +379,45 @@ class SuffixFamily:
     def __init__(self):
         self.levels: list[Level] = []
         self.hits = np.zeros((0, LENGTH - GRAM + 1), bool)
+        self.far = self.near = np.zeros(0, np.int64)
 
     def add(self, gram, after, before, far, near) -> None:
         row = len(self.hits) + np.arange(len(gram))
         self.hits = np.concatenate([self.hits, np.zeros((len(gram), self.hits.shape[1]), bool)])
-        new = Level(gram, after, before, far, near, row)
+        self.far, self.near = np.concatenate([self.far, far]), np.concatenate([self.near, near])
+        new = Level(Sorted.of(gram, after, row), Sorted.of(gram, before, row))
         self.scan(new)
         for level in self.levels:
-            self.scan(Level.joined(new, level))
+            self.scan(level.merge(new))
+        while self.levels and len(self.levels[-1].after.row) <= len(new.after.row):
+            new = self.levels.pop().merge(new)
         self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-1].row) >= len(self.levels[-2].row):
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(Level.joined(a, b))
 
     def scan(self, level: Level) -> None:
-        """Mark the windows that two suffixes of the array share: equal from the anchor on for as long as the window
-        goes (a run of the array), and equal before it (a hash of the bytes before)."""
-        n = len(level.row)
+        """Mark the windows that two suffixes share: equal from the anchor on for as long as the window goes (a run of
+        the one array), and equal before it (a run of the other)."""
+        after, before = level.after, level.before
+        n = len(after.row)
         if n < 2:
             return
-        differ = level.after[1:] != level.after[:-1]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1])
-        common = np.where(level.gram[1:] == level.gram[:-1], common, -1)
-        # only suffixes whose gram is shared can share a window
-        left = np.zeros(n, np.uint64)
+        right, left = after.common(), before.common()
+        # the order of the rows of this level, and where each stands in the other array
+        place = np.empty(n, np.int64)
+        place[np.argsort(after.row)] = np.argsort(before.row)
+        # only a suffix that shares its gram with a neighbour can share a window
+        paired = np.append(False, right >= 0) | np.append(right >= 0, False)
+        far, near = self.far[after.row], self.near[after.row]
         for d in range(self.hits.shape[1]):
-            own = np.flatnonzero((level.near <= d) & (d <= level.far))
-            if len(own) > 1:
-                run = np.concatenate([[0], np.cumsum(common < LENGTH - GRAM - d)]).astype(np.uint64)
-                key = mixed(left[own] + run[own] * _MIX)
-                order = np.argsort(key)
-                same = key[order[1:]] == key[order[:-1]]
-                hit = own[order[np.append(same, False) | np.append(False, same)]]
-                self.hits[level.row[hit], d] = True
-            if d < level.before.shape[1]:
-                left = left * _K + _TABLE[level.before[:, d]]
+            own = np.flatnonzero(paired & (near <= d) & (d <= far))
+            if len(own) < 2:
+                continue
+            run = np.concatenate([[0], np.cumsum(right < LENGTH - GRAM - d)])
+            back = np.concatenate([[0], np.cumsum(left < d)])
+            key = run[own] * n + back[place[own]]
+            order = np.argsort(key)
+            same = key[order[1:]] == key[order[:-1]]
+            hit = own[order[np.append(same, False) | np.append(False, same)]]
+            self.hits[after.row[hit], d] = True
 
 
 def hit_intervals(hits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -433,21 +531,29 @@ def window_intervals(spans: DataFrame) -> DataFrame:
 
 
 def repeated_intervals(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """text, size, a, b: intervals of the distinct texts (by hash and size) that lie in repeated windows."""
+    """text, size, spans: the intervals (a, b) of the distinct texts (by hash and size) that lie in repeated windows; a
+    table in the shared folder."""
     spark = docs.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = docs.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
-    density = 2 / (LENGTH - GRAM + 2)
-    buckets = max(shuffle, int(held * density * ANCHOR.itemsize) // BUCKET_BYTES + 1)
-    found = written(compare_anchors(packed_anchors(docs, buckets, hot), buckets, hot), "anchors")
+    packed = written(packed_anchors(docs), "anchors")
+    number = packed.agg(F.sum("n")).first()[0] or 0
+    buckets = max(shuffle, number * ANCHOR.itemsize // BUCKET_BYTES + 1)
+    high = high_counters(packed, number, hot)
+    found = written(compare_anchors(dealt(packed, buckets, high), buckets), "compared")
+    drop_written(packed)
     number = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = found.where(F.col("kind") == INTERVAL).select("text", "size", "a", "b")
+    windows = None
     if number.get(DETAIL):
         spans = surroundings(docs, found.where(F.col("kind") == DETAIL))
         out = out.unionByName(family_intervals(spans, max(shuffle, number[DETAIL] // PARTITION + 1)).select("text", "size", "a", "b"))
     if number.get(BY_WINDOW):
-        spans = written(surroundings(docs, found.where(F.col("kind") == BY_WINDOW)), "windows")
-        out = out.unionByName(window_intervals(spans).select("text", "size", "a", "b"))
+        windows = written(surroundings(docs, found.where(F.col("kind") == BY_WINDOW)), "windows")
+        out = out.unionByName(window_intervals(windows).select("text", "size", "a", "b"))
+    out = written(out.groupBy("text", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "intervals")
+    drop_written(found)
+    if windows is not None:
+        drop_written(windows)
     return out
 
 
@@ -468,7 +574,7 @@ def union_spans(asked: list[dict] | None) -> list[tuple[int, int]]:
 
 def span_table(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """key, size, spans of the texts of ``docs`` (text, key, size) that lose bytes; spans: intervals (a, b)."""
-    spans = repeated_intervals(docs, HOT if hot is None else hot).groupBy("text", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_intervals(docs, HOT if hot is None else hot)
     copies = docs.groupBy("key", "size").agg(F.count(F.lit(1)).alias("copies")).where((F.col("copies") > 1) & (F.col("size") >= LENGTH))
     whole = copies.select(F.col("key").alias("text"), "size", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("spans"))
     both = spans.unionByName(whole).groupBy("text", "size").agg(F.flatten(F.collect_list("spans")).alias("spans"))

@@ -12,7 +12,7 @@ from support import documents, leaks, link_components, odd_texts, repeats, saved
 
 import corpus_pipeline
 from strandgrid.llm import fm_decontamination, quality_classifier, signature_join, suffix_dedup
-from strandgrid.llm._common import text_arrays
+from strandgrid.llm._common import row_blocks, text_arrays
 from strandgrid.llm._graph import components, id_filter
 from strandgrid.llm.entries import QUERIES
 
@@ -130,10 +130,14 @@ def planted():
     return texts + ["".join(rng.choice(base)[a : a + rng.randint(150, 260)] for a in (rng.randint(0, 100) for _ in range(5))) for _ in range(20)]
 
 
-@pytest.mark.parametrize("hot,batch", [(None, None), (2, None), (None, 15)])
-def test_repeats(spark, monkeypatch, hot, batch):
+@pytest.mark.parametrize("hot,batch,most", [(None, None, None), (2, None, None), (None, 15, None), (None, 9, 300), (3, 9, 300)])
+def test_repeats(spark, monkeypatch, hot, batch, most):
+    """Also with grams counted as hot, families of many levels, and long texts in slices."""
     if batch:
         monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    if most:
+        monkeypatch.setattr(suffix_dedup, "SLICE", most)
+        monkeypatch.setattr(suffix_dedup, "row_blocks", lambda offsets: row_blocks(offsets, 400))
     texts = planted() + odd_texts()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in suffix_dedup.remove_repeats(documents(spark, texts), hot).collect()}
     assert [got[k] for k in range(len(texts))] == repeats(texts)
@@ -156,6 +160,47 @@ def test_repeats_query_and_stage(spark, tmp_path):
     assert QUERIES["op5_suffix_family_dedup"](spark, empty).collect() == []
 
 
+def test_levels_are_merged_runs():
+    rng = np.random.default_rng(4)
+
+    def some(n):
+        gram, side = rng.integers(0, 3, n).astype(np.uint64), rng.integers(0, 2, (n, 136)).astype(np.uint8) * (rng.random((n, 1)) < 0.7)
+        return gram, np.ascontiguousarray(side.astype(np.uint8))
+
+    a, b = some(40), some(25)
+    merged = suffix_dedup.Sorted.of(*a, np.arange(40)).merge(suffix_dedup.Sorted.of(*b, 40 + np.arange(25)))
+    whole = suffix_dedup.Sorted.of(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.arange(65))
+    assert (merged.key == whole.key).all() and sorted(merged.row) == list(range(65))
+    rows = [bytes(k) for k in merged.key]
+    assert rows == sorted(rows)
+    for k, n in enumerate(merged.common(), 1):
+        same = rows[k][:8] == rows[k - 1][:8]
+        assert n == (-1 if not same else next((i for i in range(136) if rows[k][8 + i] != rows[k - 1][8 + i]), 136))
+
+
+def test_no_task_meets_all_anchors_of_a_hot_gram(spark):
+    """One gram in every document, each time with other bytes around it."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    many = word(64 * 5000).encode()
+    least = int(np.argmin(suffix_dedup.Hashes(np.frombuffer(many, np.uint8)).grams(64)))
+    gram = many[least : least + 64].decode()  # so it is the anchor of what stands around it
+    texts = [word(150) + gram + word(150) for _ in range(400)]
+    texts += [texts[0][60:300] + "x"]  # one window is repeated
+    docs = suffix_dedup.with_keys(documents(spark, texts).select("text"))
+    packed = suffix_dedup.packed_anchors(docs).cache()
+    number = packed.agg(suffix_dedup.F.sum("n")).first()[0]
+    buckets = 64
+    largest = {}
+    for hot in (10**6, 50):
+        rows = suffix_dedup.dealt(packed, 64, suffix_dedup.high_counters(packed, number, hot))
+        largest[hot] = max(r["n"] for r in rows.groupBy("bucket").agg(suffix_dedup.F.sum(suffix_dedup.F.octet_length("blob")).alias("n")).collect()) // suffix_dedup.ANCHOR.itemsize
+    assert largest[10**6] >= 400 and largest[50] < 100
+    packed.unpersist()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in suffix_dedup.remove_repeats(documents(spark, texts), 50).collect()}
+    assert [got[k] for k in range(len(texts))] == repeats(texts)
+
+
 def test_anchors_are_local():
     rng = random.Random(0)
     text = "".join(rng.choice("abcd") for _ in range(3000)).encode()
