@@ -19,7 +19,7 @@ from strandgrid.operators import aggregates as agg
 from strandgrid.plans.expr import field as f
 from strandgrid.plans.query import Query
 from strandgrid.plans.schema import TableSchema, default_of, evolved, shaped
-from strandgrid.sources.files import scratch
+from strandgrid.sources.files import scratch, temporary
 from strandgrid.sources.queues import Queues
 from strandgrid.sources.store import Store
 from strandgrid.sources.tables import partition, place, shard_of
@@ -643,9 +643,14 @@ def schema_evolution(t, d):
 # --- the store: writes and reads through versions -----------------------------------------------------------------
 
 
+def new_store(spark: SparkSession) -> Store:
+    """An empty store in the shared folder, which goes with the application."""
+    return Store(spark, temporary(spark, scratch(spark, "store")))
+
+
 def stored(df: DataFrame, key: str):
     """A store in the shared folder with ``df`` as its table "t"."""
-    store = Store(df.sparkSession, scratch(df.sparkSession, "store"))
+    store = new_store(df.sparkSession)
     t = store.table("t").knowing(key=key)
     t.save_batch(df)
     return store, t
@@ -684,6 +689,7 @@ def store_increment_replicate(t, d):
     table_.atomic_increment(table_.query().where(f("id") == 8), {"nation": 3}, {})
     copy = scratch(store.spark, "copy")
     store.replicate(copy)
+    temporary(store.spark, copy)
     table_.delete([1, 2, 3])
     return Store(store.spark, copy).table("t").dataframe()
 
@@ -691,7 +697,7 @@ def store_increment_replicate(t, d):
 @query("SELECT s_suppkey + 1 AS id, s_name AS name FROM supplier WHERE s_nationkey % 2 = 1 AND s_suppkey > 10")
 def store_partition(t, d):
     df = supplier(d)
-    store = Store(df.sparkSession, scratch(df.sparkSession, "store"))
+    store = new_store(df.sparkSession)
     for p in (0, 1):
         store.partitioned_table("t", str(p)).knowing(key="id").save_batch(df.where(F.col("nation") % 2 == p))
     return store.partitioned_table("t", "1").knowing(key="id").query().where(f("id") > 11).select("id", "name")
@@ -706,7 +712,7 @@ NATION = "id int, name string, region int"
 
 
 def stored_nations(d, size: int = 10):
-    store = Store(d("nation").sparkSession, scratch(d("nation").sparkSession, "store"))
+    store = new_store(d("nation").sparkSession)
     t = store.table("n").knowing(key="id", search={"name": "words"})
     t.save_in_batches(nations(d), size, T.StructType.fromDDL(NATION))
     return store, t
@@ -733,7 +739,7 @@ def store_delete_in_batches(t, d):
 
 @query("SELECT n_nationkey + 1 AS id, (n_regionkey + CASE WHEN n_nationkey = 4 THEN 5 ELSE 0 END)::INT AS region, (n_nationkey + CASE WHEN n_nationkey = 4 THEN 7 ELSE 0 END)::INT AS code FROM nation UNION ALL SELECT 100, 1, 2")
 def atomic_increment_two_columns(t, d):
-    store = Store(d("nation").sparkSession, scratch(d("nation").sparkSession, "store"))
+    store = new_store(d("nation").sparkSession)
     table_ = store.table("n").knowing(key="id")
     table_.save_batch(d("nation").select((F.col("n_nationkey") + 1).alias("id"), F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("code")))
     one = lambda i: table_.query().where(f("id") == i)
@@ -840,7 +846,7 @@ def index_removal(t, d):
 @query(f"WITH {_bits_sql(256)}, found AS ({_found_sql('with', 256)}) SELECT doc_id, lang FROM found JOIN documents USING (doc_id) WHERE lang = 'en'")
 def search_bitfunnel_stored(t, d):
     """The signatures are written with the table once; the search reads them and no text."""
-    store = Store(d("documents").sparkSession, scratch(d("documents").sparkSession, "store"))
+    store = new_store(d("documents").sparkSession)
     table_ = store.table("documents").knowing(key="doc_id", search={"text": "words"})
     table_.save_batch(d("documents").select((F.col("doc_id") + 1).alias("doc_id"), "text", "lang"))
     table_.create_bitfunnel_index("text", 256)
@@ -873,9 +879,11 @@ def placement(t, d):
 def stream_save(t, d):
     """A stream of files into a store, each micro-batch one commit."""
     spark = d("customer").sparkSession
-    source, target = scratch(spark, "stream"), scratch(spark, "store")
+    source = scratch(spark, "stream")
     d("customer").select((F.col("c_custkey") + 1).alias("id"), F.col("c_nationkey").alias("nation")).repartition(4).write.parquet(source)
-    table_ = Store(spark, target).table("c").knowing(key="id")
+    temporary(spark, source)
+    store = new_store(spark)
+    table_ = store.table("c").knowing(key="id")
     stream = spark.readStream.schema("id long, nation int").option("maxFilesPerTrigger", 2).parquet(source)
-    save_stream(stream, table_, f"{target}-checkpoint", "customers").awaitTermination()
+    save_stream(stream, table_, f"{store.root}/_stream", "customers").awaitTermination()
     return table_.dataframe()

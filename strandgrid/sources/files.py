@@ -23,12 +23,35 @@ def scratch(spark: SparkSession, name: str) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            root = given.get()
+        elif re.fullmatch(r"local(\[.*\])?", context.master):
+            root = f"{tempfile.gettempdir()}/checkpoints"
+        else:
             raise QueryError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary(spark: SparkSession, path: str) -> str:
+    """Let a folder go when the application ends; it is made if it isn't there."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(context._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder now."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(context._jsc.hadoopConfiguration())
+    fs.delete(at, True)
+    fs.cancelDeleteOnExit(at)
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark.sparkContext._jvm
