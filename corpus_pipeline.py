@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs.  All but the last return the columns of ``documents``.
+
+Defined cases, besides those of the operators: rows without text or without words stay in every stage that doesn't score
+them below the threshold, and have no tokens; of rows that repeat an id and a text one stays, whichever, and with it its
+other columns; a row whose text is cut to nothing stays with an empty text; an empty table stays empty; without labels
+no document is rejected; other columns, whatever their names, are handed on as they are.
 """
 
 from __future__ import annotations
@@ -53,7 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-        if before is not None:
-            drop_written(before)
+        drop_written(before)
         before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,8 +6,7 @@ import contextlib
 import ctypes
 import gc
 import hashlib
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,26 +14,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandgrid.sources.files import dropped, scratch, temporary
+
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
 BLOCK_BYTES = 2 << 20
 
 
-#: Most rows and bytes of the Arrow batches between Spark and Python; both sides hold a few of them for each task.
+#: Most rows and bytes of the Arrow batches between Spark and Python in the operators' own jobs; both sides hold a few of
+#: them for each task.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
-def bounded(spark: SparkSession) -> SparkSession:
-    """Lower the session's limits on Arrow batches to ours; lower ones stay."""
-    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, BATCH_ROWS)
-    if not 0 < int(spark.conf.get(size).rstrip("b")) <= BATCH_BYTES:
-        spark.conf.set(size, BATCH_BYTES)
-    return spark
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Lower the session's limits on Arrow batches to ours (lower ones stay) for the jobs inside."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, most in limits.items():
+        if not 0 < int(before[k].rstrip("b")) <= most:
+            spark.conf.set(k, most)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sha(data: bytes) -> str:
@@ -82,34 +89,22 @@ def row_blocks(offsets: np.ndarray, most: int = BLOCK_BYTES):
         i = min(j, n)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor and the driver see."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        at = context._jsc.sc().getCheckpointDir()
-        if at.isEmpty():
-            context.setCheckpointDir("/tmp/checkpoints")
-            at = context._jsc.sc().getCheckpointDir()
-        root = at.get()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage is cut and lost executors cost no recomputation."""
-    spark = bounded(df.sparkSession)
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by written()."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+    """``df`` as a Parquet table in the shared folder: lineage is cut and lost executors cost no recomputation.  The table
+    goes with drop_written(), or when the application ends."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with small_batches(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(temporary(spark, path))
+
+
+def drop_written(*tables: DataFrame | None) -> None:
+    """Delete the files of tables made by written()."""
+    for df in tables:
+        if df is not None:
+            for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+                dropped(df.sparkSession, path)
 
 
 def id_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

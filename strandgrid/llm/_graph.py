@@ -13,6 +13,8 @@ from strandgrid.llm._common import drop_written, written
 
 FILTER_BITS_LOG2 = 24
 _CHUNK_BYTES = 1 << 15
+#: Edges that a task holds at once when it contracts them.
+LOCAL_EDGES = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,12 +60,46 @@ def id_filter(ids: DataFrame) -> IdFilter:
     return IdFilter(out.ravel())
 
 
+def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer edges with the same components: of every LOCAL_EDGES edges, each node to the smallest that it reaches."""
+    waiting: list[np.ndarray] = []
+
+    def stars() -> pa.RecordBatch:
+        edges = np.concatenate(waiting)
+        waiting.clear()
+        nodes, at = np.unique(edges, return_inverse=True)
+        parent = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in at.reshape(-1, 2).tolist():
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        least = np.array([root(x) for x in range(len(nodes))], np.int64)
+        moved = least != np.arange(len(nodes))
+        return pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], ["a", "b"])
+
+    for batch in batches:
+        waiting.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1))
+        if sum(map(len, waiting)) >= LOCAL_EDGES:
+            yield stars()
+    if waiting:
+        yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of ``edges`` (a, b) that reach a smaller one: the smallest node reachable.
+    """(node, component) of the nodes of ``edges`` (a, b) that reach a smaller one: the smallest node reachable; a table in
+    the shared folder.
 
-    Large-star and small-star rounds (Kiveris et al., 2014) until no edge changes; each round is a written table.
+    Edges are contracted task by task first; then large-star and small-star rounds (Kiveris et al., 2014) until no edge
+    changes; each round is a written table.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    now = written(edges.where("a <> b").mapInArrow(local_stars, "a long, b long").distinct(), "edges")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -78,4 +114,6 @@ def components(edges: DataFrame) -> DataFrame:
         drop_written(now)
         now = new
         if state == was:
-            return now.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out = written(now.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+            drop_written(now)
+            return out

@@ -13,8 +13,9 @@ Blocks come from the sets in hash order.  Documents with equal sets are one clas
 
    First only the BEST pairs of every two components of a block are compared, then all pairs of what is still apart.
 
-So no link between different components is missed.  Large blocks are split: in step 1 by a hash (what it misses, step 2
-finds), in step 2 into ranges of sizes, each joined with itself and with those it may link to.
+So no link between different components is missed.  Large blocks (of many classes, or of many shingles) are split: in
+step 1 by a hash (what it misses, step 2 finds), in step 2 into ranges of sizes, each joined with itself and with those
+it may link to.  Tables that the steps write are deleted once their last reader is done.
 
 Defined cases: a text with fewer than five words has its whole sequence as its only shingle; null and word-free texts
 have none and form components of their own; rows that repeat link as equal sets; texts of any length are whole; a class
@@ -29,15 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandgrid.llm._common import drop_written, id_text, row_blocks, table, text_arrays, written
 from strandgrid.llm._graph import IdFilter, components, id_filter
 
 WORDS = 5
-#: Most classes of a block that holds whole sets (step 1) or bitmaps (step 2).
+#: Most classes of a block that holds whole sets (step 1) or bitmaps (step 2), and shingles of them for each class.
 BLOCK, WIDE = 4096, 100_000
+SHINGLES = 640
 FANOUT, LEADERS, BEST = 8, 6, 3
 #: Blocks of so many rows need no tree above their leaves.
 SMALL = 16
@@ -335,32 +337,42 @@ def bitmaps(docs: DataFrame, only: IdFilter) -> DataFrame:
     return keyed(docs).mapInArrow(run, "class long, bits binary").dropDuplicates(["class"])
 
 
+def weight(n: str) -> Column:
+    """The size of a block: its classes, or its shingles by SHINGLES if that is more."""
+    return F.greatest(F.count(F.lit(1)), (F.sum(n) / SHINGLES).cast("long"))
+
+
 def first_links(docs: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
     """Step 1: class, root of the classes that a chain of links connects within their block of equal smallest shingles.
 
     The roots of a split block meet again in ever fewer parts, until one part holds them or nothing links any more.
     """
-    level, now = 0, reps
+    level, now, heads = 0, reps, None
     made = new = linked_in_parts(docs, now, buckets, level)
     while True:
-        large = now.groupBy("least").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK)
-        heads = written(now.join(large.select("least"), "least", "left_semi").join(new.select("class"), "class", "left_anti").select(now.columns), "heads")
-        before, after = large.agg(F.sum("members")).first()[0] or 0, heads.count()
+        large = now.groupBy("least").agg(F.count(F.lit(1)).alias("members"), weight("n").alias("weight")).where(F.col("weight") > BLOCK)
+        left = written(now.join(large.select("least"), "least", "left_semi").join(new.select("class"), "class", "left_anti").select(now.columns), "heads")
+        before, after = large.agg(F.sum("members")).first()[0] or 0, left.count()
+        drop_written(heads, new if new is not made else None)
+        heads = left
         if after in (0, before):
+            drop_written(heads)
             return made
         level, now = level + 1, heads
         new = linked_in_parts(docs, now, buckets, level)
         step = new.select(F.col("class").alias("root"), F.col("root").alias("further"))
-        made = written(made.join(step, "root", "left").select("class", F.coalesce("further", "root").alias("root")).unionByName(new), "roots")
+        grown = written(made.join(step, "root", "left").select("class", F.coalesce("further", "root").alias("root")).unionByName(new), "roots")
+        drop_written(made)
+        made = grown
 
 
 def linked_in_parts(docs: DataFrame, reps: DataFrame, buckets: int, level: int) -> DataFrame:
     """class, root within the blocks of equal smallest shingles, or within hash parts of those beyond BLOCK classes."""
-    shared = reps.groupBy("least").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    own = written(reps.join(shared, "least").select("class", "doc_id", "members"), "asked")
+    shared = reps.groupBy("least").agg(F.count(F.lit(1)).alias("members"), weight("n").alias("weight")).where("members > 1")
+    own = written(reps.join(shared, "least").select("class", "doc_id", "weight"), "asked")
     # an id that passes may be another class's: shared, missing, or alike in its hash
-    rows = whole_sets(docs, id_filter(own.select("doc_id"))).join(own.select("class", "members"), "class")
-    part = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("class", F.lit(level)), (F.col("members") / BLOCK).cast("long") + 1)).otherwise(F.lit(0))
+    rows = whole_sets(docs, id_filter(own.select("doc_id"))).join(own.select("class", "weight"), "class")
+    part = F.when(F.col("weight") > BLOCK, F.pmod(F.xxhash64("class", F.lit(level)), (F.col("weight") / BLOCK).cast("long") + 1)).otherwise(F.lit(0))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("least", part), F.lit(buckets)).cast("int")).withColumn("part", part)
 
     def run(t: pa.Table) -> pa.Table:
@@ -524,7 +536,8 @@ def blocks_of(members: DataFrame) -> DataFrame:
 
 
 def true_links(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """a, b: the components ca, cb of the rows of ``pairs`` (a, b, ca, cb) whose whole sets link."""
+    """a, b: the components ca, cb of the rows of ``pairs`` (a, b, ca, cb) whose whole sets link; a table in the shared
+    folder."""
     ids = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     ids = written(ids.join(reps, "class").select("class", "doc_id"), "asked")
     sets = written(whole_sets(docs, id_filter(ids.select("doc_id"))).join(ids.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
@@ -538,8 +551,7 @@ def true_links(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     found = pairs.join(left, "a").join(right, "b").select("ca", "cb", "sa", "sb").mapInArrow(run, "a long, b long")
     found = written(found.distinct(), "links")
-    drop_written(sets)
-    drop_written(ids)
+    drop_written(sets, ids)
     return found
 
 
@@ -551,7 +563,7 @@ def open_groups(members: DataFrame) -> DataFrame:
     """
     least = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("class").alias("first")).where("c0 <> c1")
     gathered = members.join(least.select("key", "first"), "key").groupBy("first", "class").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
-    sizes = gathered.groupBy("first").agg(F.count(F.lit(1)).alias("size"))
+    sizes = gathered.groupBy("first").agg(weight("n").alias("size"))
     return gathered.join(sizes, "first").select(F.col("first").alias("key"), "size", "class", "comp", "n")
 
 
@@ -563,7 +575,7 @@ def relabelled(rows: DataFrame, met: DataFrame) -> DataFrame:
 
 def linked_rows(docs: DataFrame) -> DataFrame:
     """doc_id (NO_ID for null), key, n, comp of every row of ``docs`` (doc_id, text): equal comp for linked rows, null
-    for rows without shingles."""
+    for rows without shingles; a table in the shared folder."""
     spark = docs.sparkSession
     made = written(class_rows(docs), "classes")
     common, rows = common_shingles(made), made.where("chunk is null").drop("chunk", "counts")
@@ -582,23 +594,26 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     held = apart.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle, held // BUCKET_BYTES + 1)
     named = rows.join(roots, "class", "left").select("doc_id", "key", "n", comp)
-    done = [bits]
+    done = [made, roots, bits]
     for best in (BEST, None):
         blocks = blocks_of(apart) if best is not None else blocks_of(apart).join(pairs.select(F.col("again").alias("block")), "block", "left_semi")
         pairs = written(bitmap_pairs(blocks.join(bits, "class"), parts, best).distinct(), "pairs")
         done += [apart, pairs]
-        met = written(components(true_links(docs, pairs.where("a is not null").drop("again"), reps)), "components")
+        links = true_links(docs, pairs.where("a is not null").drop("again"), reps)
+        met = components(links)
+        drop_written(links)
+        done.append(met)
         named = relabelled(named, met)
         if best is not None:
             apart = written(open_groups(relabelled(apart.drop("size"), met)), "open")
-    for t in done:
-        drop_written(t)
+    named = written(named, "linked")
+    drop_written(*done)
     return named
 
 
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    named = written(linked_rows(docs), "linked")
+    named = linked_rows(docs)
     least = named.where("comp is not null").groupBy("comp").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("component_id"))
     return named.join(least, "comp", "left").select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
@@ -610,12 +625,13 @@ def link_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` of which one row of each linked group stays: of the smallest id (null last), then
     text hash.  Rows without shingles are linked with nothing and all stay."""
-    named = written(linked_rows(docs), "linked")
+    named = linked_rows(docs)
     first = F.min(F.struct((F.col("doc_id") == NO_ID).alias("last"), F.col("doc_id"), F.col("key")))
     kept = named.where("comp is not null").groupBy("comp").agg(first.alias("first")).select("first.doc_id", "first.key")
     same = named.where("comp is not null").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
     alone = named.where("comp is null").select("doc_id", "key", F.lit(1).cast("long").alias("copies")).distinct()
     kept = written(kept.join(same, ["doc_id", "key"]).unionByName(alone), "kept")
+    drop_written(named)
     # the rows travel as one struct, so their names can't clash with ours
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
     stay = rows.join(kept, ["doc_id", "key"])

@@ -551,9 +551,7 @@ def repeated_intervals(docs: DataFrame, hot: int = HOT) -> DataFrame:
         windows = written(surroundings(docs, found.where(F.col("kind") == BY_WINDOW)), "windows")
         out = out.unionByName(window_intervals(windows).select("text", "size", "a", "b"))
     out = written(out.groupBy("text", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "intervals")
-    drop_written(found)
-    if windows is not None:
-        drop_written(windows)
+    drop_written(found, windows)
     return out
 
 

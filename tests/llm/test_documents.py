@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -394,9 +395,10 @@ def row_links(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block,wide,best,often", [(None, None, None, None), (4, 6, 1, (0, 2))])
-def test_links(spark, monkeypatch, block, wide, best, often):
+@pytest.mark.parametrize("block,wide,best,often,shingles", [(None, None, None, None, None), (4, 6, 1, (0, 2), 640), (50, 60, 1, (0, 2), 5)])
+def test_links(spark, monkeypatch, block, wide, best, often, shingles):
     if block:
+        monkeypatch.setattr(signature_join, "SHINGLES", shingles)
         monkeypatch.setattr(signature_join, "BLOCK", block)
         monkeypatch.setattr(signature_join, "WIDE", wide)
         monkeypatch.setattr(signature_join, "BEST", best)
@@ -422,10 +424,17 @@ def test_large_blocks_give_each_row_once(spark, monkeypatch):
     levels, whole = [], signature_join.linked_in_parts
     monkeypatch.setattr(signature_join, "linked_in_parts", lambda docs, reps, buckets, level: levels.append(level) or whole(docs, reps, buckets, level))
     firsts, first = [], signature_join.first_links
-    monkeypatch.setattr(signature_join, "first_links", lambda *a: firsts.append(first(*a)) or firsts[-1])
+
+
+    def counted(*given):
+        made = first(*given)
+        firsts.append((made.count(), made.select("class").distinct().count()))
+        return made
+
+    monkeypatch.setattr(signature_join, "first_links", counted)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((tuple(r) for r in signature_join.link_components(df).collect()), key=str)
-    assert max(levels) > 0 and firsts[0].count() == firsts[0].select("class").distinct().count()
+    assert max(levels) > 0 and firsts[0][0] == firsts[0][1] > 0
     assert got == sorted([(i, n, c) for (i, _), (n, c) in zip(rows, link_components(rows), strict=True)], key=str)
 
 
@@ -473,6 +482,22 @@ def test_components_and_filter(spark):
     assert ids.passes(np.arange(0, 5000, 7)).all() and ids.passes(np.arange(10**6, 10**6 + 5000)).sum() < 50
 
 
+def test_tables_and_settings_are_left_as_they_were(spark, tmp_path):
+    """Each operator leaves the table of its result at most, and no setting of the session changed."""
+    texts = near_copies(60) + odd_texts()
+    sf = saved(spark, tmp_path, documents=documents(spark, texts), benchmark=bench(spark, ITEMS), labels=spark.createDataFrame([(16, 1), (17, 0)], "doc_id long, quality int"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    limits = [spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")]
+    for name, own in (("op3_fm_index_leaks", 0), ("op5_suffix_family_dedup", 1), ("op9_subword_quality", 0), ("op10_signature_tree_join", 1)):
+        before = set(folder.iterdir())
+        assert QUERIES[name](spark, sf).count() == len(texts)
+        assert len(set(folder.iterdir()) - before) == own, name
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert len(set(folder.iterdir()) - before) <= 4  # the last stage's input and tables that results read
+    assert limits == [spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")]
+
+
 # pipeline
 
 
