@@ -18,8 +18,9 @@ step 1 by a hash (what it misses, step 2 finds), in step 2 into ranges of sizes,
 it may link to.  Tables that the steps write are deleted once their last reader is done.
 
 Defined cases: a text with fewer than five words has its whole sequence as its only shingle; null and word-free texts
-have none and form components of their own; rows that repeat link as equal sets; texts of any length are whole; a class
-whose rows all lack an id has a null component; an empty table gives no rows.
+have none and form components of their own; rows that repeat link as equal sets; texts of any length are whole, their
+words are hashed in slices of SLICE bytes; a class whose rows all lack an id has a null component; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ FLUSH_BYTES = 24 << 20
 COUNTERS, CHUNK = 1 << 20, 1 << 15
 OFTEN, OFTEN_TIMES = 256, 8
 NO_ID = -(2**63)
+#: Bytes of a long text whose words are hashed at once.
+SLICE = 1 << 20
 POSTING = np.dtype([("key", "<u8"), ("class", "<i8"), ("n", "<i4")])
 
 _K = np.uint64(0x100000001B3)
@@ -68,12 +71,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(27))) * _MIX
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    rows, n = len(offsets) - 1, len(data)
-    none = np.zeros(0, np.uint64)
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of some texts begins, and its hash; a long text is read in slices that end at a blank."""
+    if len(offsets) == 2 and len(data) > SLICE:
+        parts, at = [], 0
+        while at < len(data):
+            blank = np.flatnonzero(_BLANK[data[at + SLICE : at + 2 * SLICE]])
+            end = at + SLICE + int(blank[0]) if len(blank) else len(data)
+            start, word = _word_hashes(data[at:end], np.array([0, end - at]))
+            parts.append((start + at, word))
+            at = end
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    return _word_hashes(data, offsets)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data)
     if not n:
-        return [none] * rows
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     blank = np.append(_BLANK[data], True)
     edge = np.zeros(n + 1, bool)
     edge[1:] = blank[1:] != blank[:-1]
@@ -88,10 +103,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     grow[0] = 1
     shrink = np.full(n, np.uint64(pow(int(_K), -1, 2**64)))
     shrink[0] = 1
-    total = np.concatenate([none[:0], np.zeros(1, np.uint64), np.cumsum(_LOW[data] * np.cumprod(grow, dtype=np.uint64), dtype=np.uint64)])
-    word = mixed((total[end] - total[start]) * np.cumprod(shrink, dtype=np.uint64)[start])
-    m = len(word)
-    chain = np.zeros(max(0, m - WORDS + 1), np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOW[data] * np.cumprod(grow, dtype=np.uint64), dtype=np.uint64)])
+    return start, mixed((total[end] - total[start]) * np.cumprod(shrink, dtype=np.uint64)[start])
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    none = np.zeros(0, np.uint64)
+    start, word = word_hashes(data, offsets)
+    chain = np.zeros(max(0, len(word) - WORDS + 1), np.uint64)
     for i in range(WORDS):
         chain = chain * _MIX + word[i : i + len(chain)]
     chain = mixed(chain)

@@ -9,8 +9,9 @@ Texts are split at the strings of added tokens, normalised (NFC, white space, lo
 vocabulary file says.  A text with a character on which Python and the tokenizers library differ takes the library's
 own normaliser and splitter.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; texts and words of any length are whole;
-repeated rows and ids repeat; an empty table gives no rows.
+Defined cases: null and empty texts have no ids and decode to the empty text; texts and words of any length are whole,
+long texts are read in slices of about SLICE characters; rows that repeat a text or an id give a row each; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ from strandgrid.llm.bpe import PairTable, default_path, load
 
 #: Encodings that a worker remembers; all are dropped beyond this.
 MOST_WORDS = 250_000
+#: Characters of a long text, and ids, that are worked on at once.
+SLICE = 1 << 20
+_CUT = re.compile("[A-Za-z](?= )")
 
 
 class KnownPairs:
@@ -162,11 +166,20 @@ class Codec:
         memo = self.memo
         return [b"".join([memo[w] if type(w) is str else w.to_bytes(4, "little") for w in row]) for row in rows]
 
+    def encode(self, text: str) -> bytes:
+        """Ids of one text; a long one is cut where a letter is followed by a space, between two words in any case."""
+        out, at = [], 0
+        while len(text) - at > SLICE and (m := _CUT.search(text, at + SLICE)):
+            out += self.encode_block([text[at : m.end()]])
+            at = m.end()
+        return b"".join([*out, *self.encode_block([text[at:]])])
+
     # ids to text
 
     def decode(self, ids: bytes) -> str:
         """As the library does for a vocabulary without a decoder: the tokens' own strings, joined by spaces."""
-        return " ".join([self.text[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        step = 4 * SLICE
+        return " ".join([" ".join([self.text[i] for i in np.frombuffer(ids[k : k + step], "<u4").tolist()]) for k in range(0, len(ids), step)])
 
 
 @lru_cache(maxsize=2)
@@ -190,7 +203,8 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
             _, offsets = text_arrays(batch.column(1), "codec")
             own = codec(tokenizer)
             for i, j in row_blocks(offsets):
-                ids = own.encode_block([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
+                texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
+                ids = own.encode_block(texts) if j - i > 1 else [own.encode(texts[0])]
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, ids binary, decoded string")

@@ -438,6 +438,15 @@ def test_large_blocks_give_each_row_once(spark, monkeypatch):
     assert got == sorted([(i, n, c) for (i, _), (n, c) in zip(rows, link_components(rows), strict=True)], key=str)
 
 
+def test_words_of_slices(monkeypatch):
+    for t in [*odd_texts(), " ".join(near_copies(20))]:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        monkeypatch.setattr(signature_join, "SLICE", 1 << 20)
+        whole = signature_join.shingle_sets(raw, np.array([0, len(raw)]))
+        monkeypatch.setattr(signature_join, "SLICE", 25)
+        assert (signature_join.shingle_sets(raw, np.array([0, len(raw)]))[0] == whole[0]).all()
+
+
 def test_link_edges(spark, tmp_path):
     t = "a b c d e f g h i j k l m n o p"
     rows = [(3, t), (3, t), (None, t), (7, t.upper()), (None, "q r s t u v"), (None, "q r s t u v"), (9, None), (9, ""), (11, "x y"), (12, "X  y")]

@@ -88,6 +88,15 @@ def test_coding_equals_the_library():
         assert codec.decode(got) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_slices_of_long_texts_change_nothing(monkeypatch):
+    monkeypatch.setattr(speculative_bpe, "SLICE", 30)
+    codec, library = speculative_bpe.Codec(WORD), Tokenizer.from_file(WORD)
+    for text in [*(t or "" for t in odd_texts()), " ".join(random_texts(200, 4)), "x" * 200, "a <|endoftext|> " * 30]:
+        ids = codec.encode(text)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and codec.decode(ids) == library.decode(want, skip_special_tokens=False)
+
+
 def test_long_words_merge_alike():
     m = bpe.load(WORD)
     word = ("thereingson" * 30).encode()
@@ -116,5 +125,9 @@ def test_queries(spark, tmp_path, name):
         else:
             assert got[k]["ids_sha256"] == sha(np.array(ids, "<u4").tobytes())
             assert got[k]["decoded_sha256"] == sha(library.decode(ids, skip_special_tokens=False).encode())
+    twice = documents(spark, texts).unionByName(documents(spark, texts[::-1]))
+    rows = QUERIES[name](spark, saved(spark, tmp_path / "twice", documents=twice)).collect()
+    counts = [got[k]["n_tokens"] for k in range(len(texts))]
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in rows) == sorted([*enumerate(counts), *enumerate(counts[::-1])])
     empty = saved(spark, tmp_path / "empty", documents=documents(spark, texts).limit(0))
     assert QUERIES[name](spark, empty).collect() == []
