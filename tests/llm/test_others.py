@@ -190,6 +190,23 @@ def test_urls(spark, tmp_path):
     assert not url_filter.vocabulary_blocks("casino", (), ())
 
 
+def test_vocabulary_table(spark):
+    terms = spark.createDataFrame([("Lotto", True), ("lotto", False), ("jetzt", False), ("hier", None), ("", True), (None, True)], "term string, strict boolean")
+    strict, soft = url_filter.vocabulary_of(terms)
+    assert (strict, soft) == (("lotto",), ("hier", "jetzt"))
+    urls = ["http://x.de/LOTTO-6", "http://lottos.de/jetzt", "http://x.de/jetzt/hier", "http://casino.de/", "http://x.de/jetzt/jetzt", "http://x.de/" + "a/" * 100_000 + "lotto"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, strict=strict, soft=soft).collect()}
+    assert [got[k] for k in range(len(urls))] == ["block", "allow", "block", "allow", "allow", "block"]
+    for words in ("gratis-wetten", "rencontre/gratuit", "spam", "préstamo-barato", "free-bets"):
+        assert url_filter.vocabulary_blocks(f"http://h.example/{words}")
+
+
+def test_rules_of_equal_length():
+    table = url_filter.RuleTable([("block", "b.com", "/aaaa"), ("allow", "a.b.com", "/aa"), ("block", "a.b.com", "/aa")])
+    assert table.match("a.b.com", "/aaaab") == ("a.b.com/aa", "allow")
+
+
 # 8
 
 
