@@ -4,7 +4,8 @@ A row descends region, rack and shard.  At each level every child makes a weight
 variable with the child's weight as rate, and the smallest draw wins; so children win in proportion to their weights.
 A changed weight changes only that child's draw: rows move between that subtree and others, and nowhere else.
 
-A shard added to a full tree comes as a region of its own (``tree``), so it takes rows only into itself: law ``key``.
+The texts are read once: their sizes, checksums and shards are written to the shared folder, and the slots are counted
+from there.  A shard added to a full tree comes as a region of its own (``tree``), so it takes rows only into itself: law ``key``.
 
 Defined cases: null text has size 1 and the checksum of the empty string; null ids share one draw, that of the id -2^62;
 rows that repeat an id get the same shard and different slots; of equal draws the child that is named first wins; a
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandgrid.llm._common import table
+from strandgrid.llm._common import table, written
 
 #: Groups that the rows of a shard are numbered in; their sizes are summed up front, so no task numbers a whole shard.
 SLOT_CHUNKS = 4096
@@ -82,7 +83,10 @@ def assign_shards(docs: DataFrame, now: Node, grown: Node) -> DataFrame:
         F.lit("key").alias("law"),
         descend(key, now).cast("int").alias("shard"),
         descend(key, grown).cast("int").alias("grown_shard"),
-    ).withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_CHUNKS)).cast("int"))
+    )
+    # the row's place takes part in its chunk, so equal rows don't pile up; written, so that the place stays
+    chunk = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(SLOT_CHUNKS)).cast("int")
+    rows = written(rows.withColumn("_chunk", chunk), "shards")
     # at most shards x SLOT_CHUNKS rows, whatever the input: bounded for the broadcast
     sizes = rows.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
