@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgrid.llm._common import drop_written, id_text, row_blocks, table, text_arrays, written
@@ -644,7 +644,7 @@ def link_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` of which one row of each linked group stays: of the smallest id (null last), then
-    text hash.  Rows without shingles are linked with nothing and all stay."""
+    text hash, then hash of all columns.  Rows without shingles are linked with nothing and all stay."""
     named = linked_rows(docs)
     first = F.min(F.struct((F.col("doc_id") == NO_ID).alias("last"), F.col("doc_id"), F.col("key")))
     kept = named.where("comp is not null").groupBy("comp").agg(first.alias("first")).select("first.doc_id", "first.key")
@@ -657,9 +657,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stay = rows.join(kept, ["doc_id", "key"])
     if kept.where("copies > 1").isEmpty():
         return stay.select("row.*")
-    # rows that repeat id and text: one of them
-    order = Window.partitionBy("doc_id", "key").orderBy(F.lit(1))
-    repeated = stay.where("copies > 1").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    # rows that repeat id and text: the one whose other columns have the smallest hash
+    plain = [F.col(f"row.{f.name}") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = F.min_by("row", F.xxhash64(*plain)).alias("row")
+    repeated = stay.where("copies > 1").groupBy("doc_id", "key").agg(one)
     return stay.where("copies = 1").select("row.*").unionByName(repeated.select("row.*"))
 
 

@@ -159,6 +159,10 @@ def test_repeats_query_and_stage(spark, tmp_path):
             assert len(r["text"].encode()) <= want[r["doc_id"]][0] - want[r["doc_id"]][1] and r["n_chars"] == len(r["text"])
     empty = saved(spark, tmp_path / "e", documents=documents(spark, texts).limit(0))
     assert QUERIES["op5_suffix_family_dedup"](spark, empty).collect() == []
+    twice = saved(spark, tmp_path / "t", documents=documents(spark, texts).unionByName(documents(spark, texts[::-1])))
+    rows = sorted(tuple(r) for r in QUERIES["op5_suffix_family_dedup"](spark, twice).collect())
+    again = repeats(texts + texts[::-1])
+    assert rows == sorted((k % len(texts), *w) for k, w in enumerate(again))
 
 
 def test_levels_are_merged_runs():
@@ -455,6 +459,9 @@ def test_link_edges(spark, tmp_path):
     assert got == sorted([(i, n, c) for (i, _), (n, c) in zip(rows, link_components(rows), strict=True)], key=str)
     kept = sorted((tuple(r) for r in signature_join.one_of_each(df).collect()), key=str)
     assert kept == sorted([(3, t), (None, "q r s t u v"), (9, None), (9, ""), (11, "x y")], key=str)
+    other = spark.createDataFrame([(3, t, "x"), (3, t, "y"), (3, t, "x"), (4, "u v", "z")], "doc_id long, text string, source string")
+    stayed = [sorted(map(tuple, signature_join.one_of_each(other.repartition(n)).collect())) for n in (1, 2, 3)]
+    assert len(stayed[0]) == 2 and stayed[0] == stayed[1] == stayed[2]
     empty = saved(spark, tmp_path / "e", documents=df.limit(0))
     assert QUERIES["op10_signature_tree_join"](spark, empty).collect() == []
 
