@@ -7,6 +7,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +17,11 @@ from strandgrid.functions import signatures, text
 from strandgrid.functions.vector import squared_distance
 from strandgrid.operators import writes
 from strandgrid.operators import aggregates as agg
+from strandgrid.plans.errors import QueryError
 from strandgrid.plans.expr import field as f
 from strandgrid.plans.query import Query
 from strandgrid.plans.schema import TableSchema, default_of, evolved, shaped
+from strandgrid.sources.access import Users
 from strandgrid.sources.files import scratch, temporary
 from strandgrid.sources.queues import Queues
 from strandgrid.sources.store import Store
@@ -887,3 +890,72 @@ def stream_save(t, d):
     stream = spark.readStream.schema("id long, nation int").option("maxFilesPerTrigger", 2).parquet(source)
     save_stream(stream, table_, f"{store.root}/_stream", "customers").awaitTermination()
     return table_.dataframe()
+
+
+def refused(call: Callable[[], object]) -> bool:
+    try:
+        call()
+    except (QueryError, PySparkException):
+        return True
+    return False
+
+
+def told(d, rows: list[tuple[str, bool]]) -> DataFrame:
+    return d("nation").sparkSession.createDataFrame(rows, "what string, refused boolean")
+
+
+@query("SELECT * FROM (VALUES ('F8 order with null', true), ('P1 expression', true), ('A8 other aggregate', true), ('V3 other dimension', true), ('V1 no neighbours', true), ('O3 skip without order', true), ('F12 or at the end', true), ('plain', false)) v(what, refused)")
+def refused_shapes(t, d):
+    orders, vectors = t("orders"), t("embeddings")
+    shapes = {
+        "F8 order with null": lambda: orders.where(f("o_totalprice") < None),
+        "P1 expression": lambda: orders.select(F.col("o_totalprice") + 1),
+        "A8 other aggregate": lambda: t("lineitem").group_by("l_linenumber").select(key=agg.key(), n=agg.Aggregate("median", "l_quantity")),
+        "V3 other dimension": lambda: vectors.search_neighbours("embedding", [1.0, 2.0], 3).get_ids().collect(),
+        "V1 no neighbours": lambda: vectors.search_neighbours("embedding", PROBE, 0),
+        "O3 skip without order": lambda: orders.skip(3),
+        "F12 or at the end": lambda: orders.where(f("o_custkey") == 1).or_().get_ids(),
+        "plain": lambda: orders.where(f("o_totalprice") < 1000.0).get_ids(),
+    }
+    return told(d, [(name, refused(make)) for name, make in shapes.items()])
+
+
+@query("SELECT * FROM (VALUES ('25 of 25', false), ('25 of 24', true)) v(what, refused) UNION ALL SELECT 'rows kept: ' || count(*), false FROM nation")
+def write_batch_limit(t, d):
+    store = new_store(d("nation").sparkSession)
+    save = lambda most: Store(store.spark, store.root, most_rows=most).table("n").knowing(key="id").save_batch(nations(d), T.StructType.fromDDL(NATION))
+    rows = [(f"25 of {most}", refused(lambda most=most: save(most))) for most in (25, 24)]
+    return told(d, [*rows, (f"rows kept: {store.table('n').dataframe().count()}", False)])
+
+
+@query("SELECT * FROM (VALUES ('within', false), ('beyond', true)) v(what, refused) UNION ALL SELECT n_name, false FROM nation")
+def result_size_limit(t, d):
+    q = t("nation")
+    size = 4 * 25 + sum(len(r["n_name"]) for r in d("nation").collect())
+    limits = [("within", size), ("beyond", size - 1)]
+    rows = [(name, refused(lambda most=most: q.fetched("n_nationkey", "n_name", most_bytes=most))) for name, most in limits]
+    return told(d, rows + [(r["n_name"], False) for r in q.fetched("n_name")])
+
+
+@query("SELECT * FROM (VALUES ('up', false), ('down', true)) v(what, refused)")
+def store_status(t, d):
+    store, _ = stored_nations(d)
+    return told(d, [("up", not store.status(20_000)[1]), ("down", not Store(store.spark, store.root + "-elsewhere").status(20_000)[1])])
+
+
+@query("""SELECT * FROM (VALUES ('reader query', false), ('reader save', true), ('reader copy', true), ('writer query', false), ('writer save', false), ('writer copy', true),
+          ('admin query', false), ('admin save', false), ('admin copy', false), ('wrong password', true), ('nobody', true)) v(what, refused)""")
+def users_and_roles(t, d):
+    store, _ = stored_nations(d)
+    users = Users({r: (f"secret {r}", r) for r in ("reader", "writer", "admin")})
+    copy = scratch(store.spark, "copy")
+    rows = []
+    for role in ("reader", "writer", "admin"):
+        own = users.opened(store, role, f"secret {role}")
+        table_ = lambda own=own: own.table("n").knowing(key="id")
+        rows.append((f"{role} query", refused(lambda: table_().query().count().first())))
+        rows.append((f"{role} save", refused(lambda: table_().save({"name": role, "region": 1}))))
+        rows.append((f"{role} copy", refused(lambda own=own: own.replicate(copy))))
+    temporary(store.spark, copy)
+    rows += [("wrong password", refused(lambda: users.opened(store, "admin", "x"))), ("nobody", refused(lambda: users.opened(store, "x", "x")))]
+    return told(d, rows)

@@ -26,6 +26,8 @@ from strandgrid.plans.schema import DATES, NUMBERS, STEP, TableSchema, is_vector
 BOUNDARIES = ("both_inclusive", "from_inclusive", "to_inclusive", "both_exclusive")
 #: Values up to which membership is a literal list; more become a semi join.
 LITERALS = 2000
+#: Most bytes that a result may have when it is fetched, unless another limit is given.
+MOST_BYTES = 314_572_800
 #: The column of a stored table that holds the packed signatures of its signature index.
 SIGNATURE = "_signature"
 
@@ -269,6 +271,22 @@ class Query:
         if held:
             yield held
 
+    def fetched(self, *columns: str, most_bytes: int = MOST_BYTES) -> list:
+        """The rows on the driver; refused if their values take more than ``most_bytes``."""
+        df = self.select(*columns) if columns else self.select_entity()
+
+        def width(f: T.StructField) -> Column:
+            if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+                return F.coalesce(F.octet_length(f.name), F.lit(0))
+            if isinstance(f.dataType, T.ArrayType):
+                return F.when(F.col(f.name).isNotNull(), 4 * F.size(f.name)).otherwise(0)
+            return F.lit({"int": 4, "float": 4}.get(f.dataType.simpleString(), 16 if isinstance(f.dataType, T.DecimalType) else 8))
+
+        size = df.agg(F.sum(sum((width(f).cast("long") for f in df.schema), F.lit(0)))).first()[0] or 0
+        if size > most_bytes:
+            raise QueryError(f"the result has {size} bytes; at most {most_bytes} are allowed")
+        return df.collect()
+
     def get_ids(self) -> DataFrame:
         return self.matches().select(*self.identity)
 
