@@ -9,13 +9,14 @@ Blocks come from the sets in hash order.  Documents with equal sets are one clas
 1. Classes that share their smallest shingle are joined with their whole sets: this finds most links.
 2. Linked classes share one of their first n - ceil(3n/4) + 1 shingles, in any order that is the same for all (prefix
    filter).  The order puts shingles of very many documents last: they are counted, over all documents, in a sketch of
-   fixed size, whose only effect is the order.  So a common passage makes no large block.  Classes that share such a shingle and are not yet connected are joined by bitmaps, and the pairs that pass are compared set by set.
-
-   First only the BEST pairs of every two components of a block are compared, then all pairs of what is still apart.
+   fixed size, whose only effect is the order and the way their postings go.  So a common passage makes no large block.
+   Classes that share such a shingle and are not yet connected are joined by bitmaps, and the pairs that pass are
+   compared set by set.  First only the BEST pairs of every two components of a block are compared, then all pairs of
+   what is still apart.
 
 So no link between different components is missed.  Large blocks (of many classes, or of many shingles) are split: in
-step 1 by a hash (what it misses, step 2 finds), in step 2 into ranges of sizes, each joined with itself and with those
-it may link to.  Tables that the steps write are deleted once their last reader is done.
+step 1 by a hash (what it misses, step 2 finds), in step 2 as ``blocks_of`` says.  Tables that the steps write are
+deleted once their last reader is done.
 
 Defined cases: a text with fewer than five words has its whole sequence as its only shingle; null and word-free texts
 have none and form components of their own; rows that repeat link as equal sets; texts of any length are whole, their
@@ -417,7 +418,11 @@ def linked_in_parts(docs: DataFrame, reps: DataFrame, buckets: int, level: int)
 
 
 def shared_prefixes(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
-    """Step 2: key, class, n for every prefix shingle that two or more classes of fitting sizes hold."""
+    """Step 2: key, class, n for every prefix shingle that two or more classes of fitting sizes hold.
+
+    The postings of a key meet in a task; those of common shingles, which may be of very many classes, don't: they are
+    dealt by key and class and go on as they are, to be sifted by their components (``open_groups``).
+    """
     held = docs.sparkSession.sparkContext.broadcast(common)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +432,9 @@ def shared_prefixes(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFr
 
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(kept) if kept else np.zeros(0, POSTING)
-            where = (rows["key"] % np.uint64(buckets)).astype(np.int64)
+            often = held.value[(rows["key"] & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            spread = np.where(often, mixed(rows["key"] ^ rows["class"].view(np.uint64) * _MIX), rows["key"])
+            where = (spread % np.uint64(buckets)).astype(np.int64) + buckets * often
             order = np.argsort(where, kind="stable")
             rows, where = rows[order], where[order]
             cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
@@ -451,6 +458,9 @@ def shared_prefixes(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFr
 
     def shared(t: pa.Table) -> pa.Table:
         packed = np.frombuffer(b"".join(t.column("blob").to_pylist()), POSTING)
+        if t.column("bucket")[0].as_py() >= buckets:  # postings of common shingles: of each key only a part is here
+            packed = np.unique(packed)
+            return pa.table([pa.array(packed["key"].view(np.int64)), pa.array(packed["class"]), pa.array(packed["n"].astype(np.int64))], ["key", "class", "n"])
         order = np.argsort(packed["key"], kind="stable")
         same = packed["key"][order[1:]] == packed["key"][order[:-1]]
         packed = packed[order[np.append(same, False) | np.append(False, same)]]
@@ -484,15 +494,16 @@ def best_of(score: np.ndarray, c0: np.ndarray, c1: np.ndarray, most: int) -> np.
 
 def bitmap_pairs(rows: DataFrame, buckets: int, best: int | None = None) -> DataFrame:
     """a, b, ca, cb (classes and their different components) that the trees of the blocks can't rule out; or, in
-    ``again``, a block of which not all pairs were given.
+    ``again``, the key of a block of which not all pairs were given.
 
-    ``rows``: block, side (null: the whole block is joined with itself; else 0 and 1 are joined), class, comp, n, bits.
+    ``rows``: key, block, side (null: the whole block is joined with itself; else 0 and 1 are joined), class, comp, n,
+    bits.
     ``best``: only so many pairs of every two components of a bucket, those with the largest possible overlap.
     """
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
-        block, n, comp, cls = (t.column(c).to_numpy() for c in ("block", "n", "comp", "class"))
+        block, key, n, comp, cls = (t.column(c).to_numpy() for c in ("block", "key", "n", "comp", "class"))
         side = t.column("side").fill_null(2).to_numpy()
         packed = [np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()]
         band = np.array([len(x) for x in packed], np.int64)
@@ -506,7 +517,7 @@ def bitmap_pairs(rows: DataFrame, buckets: int, best: int | None = None) -> Data
             i, j = np.where(cls[i] < cls[j], i, j)[keep], np.where(cls[i] < cls[j], j, i)[keep]
             if best is not None and len(i):
                 own = best_of(score[keep], comp[i], comp[j], best)
-                again.append(np.unique(np.delete(block[i], own)))
+                again.append(np.unique(np.delete(key[i], own)))
                 i, j = i[own], j[own]
             made.append(np.stack([cls[i], cls[j], comp[i], comp[j]], 1))
 
@@ -536,23 +547,34 @@ def bitmap_pairs(rows: DataFrame, buckets: int, best: int | None = None) -> Data
 
 
 def blocks_of(members: DataFrame) -> DataFrame:
-    """block, side, class, comp, n: the groups of ``members`` (key, size, class, comp, n), large ones split by size.
+    """key, block, side, class, comp, n: the groups of ``members`` (key, size, class, comp, n), large ones split.
 
-    A split group's ranges of n are each joined with themselves (side null) and with the ranges that reach up to 4/3.
+    A large group has a major component, that of most of its classes, which needn't be joined with itself.  The classes
+    of the major one are dealt to cells, by a range of n and a hash; each of the others (minor) meets the cells of its
+    own range and of the two beside it, and the minor ones meet each other in cells of their own.
     """
-    small = members.where(F.col("size") <= WIDE).select(F.xxhash64("key").alias("block"), F.lit(None).cast("int").alias("side"), "class", "comp", "n")
-    # equal hash parts of a range of sizes; every two parts of ranges that may link meet once
+    columns = ["key", "block", "side", "class", "comp", "n"]
+    small = members.where(F.col("size") <= WIDE).select("key", F.xxhash64("key").alias("block"), F.lit(None).cast("int").alias("side"), "class", "comp", "n")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.34)))).cast("int")
     large = members.where(F.col("size") > WIDE).withColumn("band", band)
-    parts = (F.col("size") / (WIDE // 2)).cast("int") + 1
-    large = large.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    # cell = (band, part); it meets (band, any part) and (band + 1, any part) as side 0 or 1, and itself
-    other = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct((F.col("band") + d).alias("band"), p.alias("part"))))))
-    met = large.select("key", "band", "part", other.alias("o"), "class", "comp", "n")
-    mine, theirs = F.struct("band", "part"), F.struct("o.band", "o.part")
-    name = F.xxhash64("key", F.least(mine, theirs), F.greatest(mine, theirs))
-    side = F.when(mine == theirs, F.lit(None)).when(mine < theirs, 0).otherwise(1).cast("int")
-    return small.unionByName(met.select(name.alias("block"), side.alias("side"), "class", "comp", "n"))
+    counted = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many"), weight("n").alias("weight"))
+    major = counted.groupBy("key").agg(F.max_by("comp", F.struct("many", "comp")).alias("major"), F.sum("weight").alias("all"), F.max(F.struct("many", "comp", "weight")).alias("top"))
+    part = lambda weight: (weight / (WIDE // 2)).cast("int") + 1
+    major = major.select("key", "major", part(F.col("top.weight")).alias("parts"), part(F.col("all") - F.col("top.weight")).alias("minor_parts"))
+    large = large.join(major, "key")
+    hashed = lambda parts: F.pmod(F.xxhash64("class"), F.col(parts)).cast("int")
+    cell = lambda kind, *names: F.xxhash64("key", F.lit(kind), *names)
+    own = large.where("comp = major").withColumn("block", cell(0, "band", hashed("parts"))).withColumn("side", F.lit(0))
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    rest = large.where("comp <> major")
+    met = rest.withColumn("step", near).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.withColumn("block", cell(0, F.col("band") + F.col("step"), "p")).withColumn("side", F.lit(1))
+    # the minor ones: a cell meets itself, and as side 0 or 1 every part of its own range and of the ranges beside it
+    rest = rest.withColumn("part", hashed("minor_parts")).withColumn("step", near).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("minor_parts") - 1)))
+    mine, theirs = F.struct("band", "part"), F.struct((F.col("band") + F.col("step")).alias("band"), F.col("p").alias("part"))
+    rest = rest.withColumn("block", cell(1, F.least(mine, theirs), F.greatest(mine, theirs)))
+    rest = rest.withColumn("side", F.when(mine == theirs, F.lit(None)).when(mine < theirs, 0).otherwise(1).cast("int"))
+    return small.unionByName(own.select(columns)).unionByName(met.select(columns)).unionByName(rest.select(columns))
 
 
 def true_links(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -616,7 +638,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     named = rows.join(roots, "class", "left").select("doc_id", "key", "n", comp)
     done = [made, roots, bits]
     for best in (BEST, None):
-        blocks = blocks_of(apart) if best is not None else blocks_of(apart).join(pairs.select(F.col("again").alias("block")), "block", "left_semi")
+        blocks = blocks_of(apart if best is not None else apart.join(pairs.select(F.col("again").alias("key")), "key", "left_semi"))
         pairs = written(bitmap_pairs(blocks.join(bits, "class"), parts, best).distinct(), "pairs")
         done += [apart, pairs]
         links = true_links(docs, pairs.where("a is not null").drop("again"), reps)
