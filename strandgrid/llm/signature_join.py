@@ -49,6 +49,8 @@ SMALL = 16
 BUCKET_BYTES = 16 << 20
 #: Bytes of postings that a task holds before it sends them on.
 FLUSH_BYTES = 24 << 20
+#: Bytes of bitmaps that pairs are compared by at once, on either side.
+PAIR_BYTES = 4 << 20
 #: Counters of the sketch, and those sent in one row.  A counter is high from OFTEN + OFTEN_TIMES times the mean.
 COUNTERS, CHUNK = 1 << 20, 1 << 15
 OFTEN, OFTEN_TIMES = 256, 8
@@ -177,8 +179,9 @@ class SignatureTree:
         alike = (c0[i] == c1[i]) & (c0[j] == c1[j]) & (c0[i] == c0[j])
         ok = ~alike & (4 * high[i] >= 3 * low[j]) & (4 * high[j] >= 3 * low[i])
         at = np.flatnonzero(ok)
-        for k in range(0, len(at), 1 << 14):
-            part = at[k : k + (1 << 14)]
+        step = max(1, PAIR_BYTES // bits[0].nbytes)
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
             a, b = i[part], j[part]
             most = np.bitwise_count(bits[a] & bits[b]).sum(axis=1).astype(np.int64) + np.minimum(surplus[a], surplus[b])
             most = np.minimum(most, np.minimum(high[a], high[b]))
@@ -188,7 +191,8 @@ class SignatureTree:
     def overlap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Shared bits of documents, as a share of their sizes."""
         bits, size = self.levels[-1][:2]
-        parts = [np.bitwise_count(bits[i[k : k + (1 << 14)]] & bits[j[k : k + (1 << 14)]]).sum(axis=1) for k in range(0, len(i), 1 << 14)]
+        step = max(1, PAIR_BYTES // bits[0].nbytes)
+        parts = [np.bitwise_count(bits[i[k : k + step]] & bits[j[k : k + step]]).sum(axis=1) for k in range(0, len(i), step)]
         return np.concatenate(parts).astype(np.float64) / (size[i] + size[j]) if parts else np.zeros(0)
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
