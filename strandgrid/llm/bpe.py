@@ -15,6 +15,10 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Stands for the rank of a pair that doesn't merge.
+_NONE = (1 << 62, -1)
+
+
 class Merges:
     """Vocabulary and merge ranks over symbols that are ids; ``merge`` is the exact procedure."""
 
@@ -53,16 +57,19 @@ class Merges:
         """Lowest rank first, leftmost first among equals."""
         if len(ids) > 64:
             return self._merge_long(ids)
-        ids, ranks = list(ids), self.ranks
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                r = ranks.get((ids[i], ids[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        ids, known = list(ids), self.ranks.get
+        found = [known(p, _NONE) for p in zip(ids, ids[1:], strict=False)]  # (rank, merged id) of each pair
+        while found:
+            best = min(found)
+            if best is _NONE:
                 break
+            at = found.index(best)  # the leftmost
             ids[at : at + 2] = [best[1]]
+            del found[at]
+            if at:
+                found[at - 1] = known((ids[at - 1], ids[at]), _NONE)
+            if at < len(found):
+                found[at] = known((ids[at], ids[at + 1]), _NONE)
         return ids
 
     def last_pair(self, ids: list[int]) -> tuple[int, int] | None:

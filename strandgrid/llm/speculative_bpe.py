@@ -36,6 +36,8 @@ MOST_WORDS = 250_000
 #: Characters of a long text, and ids, that are worked on at once.
 SLICE = 1 << 20
 _CUT = re.compile("[A-Za-z](?= )")
+#: Marks the string of an added token among words; no word holds this character next to a letter.
+_ADDED = "\0a"
 
 
 class KnownPairs:
@@ -81,7 +83,12 @@ class Codec:
         self.inner = {t: i for t, i in own if not self.merges.ends[i]}
         self.final = {t: i for t, i in own if self.merges.ends[i]}
         self.longest = max(len(t) for t, _ in own)
-        self.memo: dict[str, bytes] = {}
+        #: length of the longest inner token that begins with these two bytes (or is one byte)
+        self.most: dict[bytes, int] = {}
+        for t in self.inner:
+            self.most[t[:2]] = max(len(t), self.most.get(t[:2], 0))
+        self.special = {_ADDED + t: i.to_bytes(4, "little") for t, i in self.merges.added.items()}
+        self.memo: dict[str, bytes] = dict(self.special)
         self.text = self.merges.text | {i: t for t, i in self.merges.added.items()}
         self.seen: set[str] = set()
         self.odd: set[str] = set("Σ")  # lower-cased by its neighbours in Python, not in the library
@@ -122,7 +129,7 @@ class Codec:
             if rest <= self.longest and (token := self.final.get(word[at:])) is not None:
                 out.append(token)
                 break
-            for k in range(min(self.longest, rest - 1), 0, -1):
+            for k in range(min(self.most.get(word[at : at + 2], 1), rest - 1), 0, -1):
                 if (token := self.inner.get(word[at : at + k])) is not None:
                     out.append(token)
                     at += k
@@ -148,23 +155,22 @@ class Codec:
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        rows: list[list] = []
+        rows: list[list[str]] = []
         for text in texts:
-            row: list = []
+            row: list[str] = []
             parts = self.added.split(text) if "<|" in text else [text]
             for i, part in enumerate(parts):
                 if i % 2:
-                    row.append(self.merges.added[part])
+                    row.append(_ADDED + part)
                 elif part:
                     row.extend(self.words(part))
             rows.append(row)
         if len(self.memo) > MOST_WORDS:
-            self.memo.clear()
-        new = {w for row in rows for w in row if type(w) is str and w not in self.memo}
+            self.memo = dict(self.special)
+        new = set().union(*rows) - self.memo.keys()
         if new:
             self.learn(list(new))
-        memo = self.memo
-        return [b"".join([memo[w] if type(w) is str else w.to_bytes(4, "little") for w in row]) for row in rows]
+        return [b"".join(map(self.memo.__getitem__, row)) for row in rows]
 
     def encode(self, text: str) -> bytes:
         """Ids of one text; a long one is cut where a letter is followed by a space, between two words in any case."""
