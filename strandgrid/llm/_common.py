@@ -44,6 +44,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Powers of multipliers of rolling hashes that a worker keeps: as many as a block has bytes.
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(of: int, n: int) -> np.ndarray:
+    """The first n powers of an odd number, modulo 2**64; not to be written to."""
+    held = _POWERS.get(of)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1024), np.uint64(of))
+        held[0] = 1
+        np.cumprod(held, dtype=np.uint64, out=held)
+        held.flags.writeable = False
+        if n <= 2 * BLOCK_BYTES:
+            _POWERS[of] = held
+    return held[:n]
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgrid.llm._common import drop_written, id_text, row_blocks, table, text_arrays, written
+from strandgrid.llm._common import drop_written, id_text, powers, row_blocks, table, text_arrays, written
 
 WINDOW = 8
 CONTAMINATED = 2
@@ -41,7 +41,8 @@ SLICE, INDEX, TOGETHER = 1 << 20, 1 << 18, 1 << 16
 #: Lower-cases A-Z, keeps digits, letters and every byte of other characters, and turns all else into a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BYTES = np.frombuffer(WORD_BYTES, np.uint8)
-_K = np.uint64(0x9E3779B97F4A7C15)
+_K = 0x9E3779B97F4A7C15
+_INVERSE = pow(_K, -1, 2**64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _TABLE = np.random.default_rng(23).integers(1, 2**63, 256, np.int64).astype(np.uint64)
 
@@ -61,11 +62,9 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     """64 bits of each word: the sum of its bytes' numbers times the powers of a multiplier, from its first byte on."""
     n = len(data)
-    grow, shrink = np.full(n, _K), np.full(n, np.uint64(pow(int(_K), -1, 2**64)))
-    grow[:1] = shrink[:1] = 1
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[_BYTES[data]] * np.cumprod(grow, dtype=np.uint64), dtype=np.uint64, out=total[1:])
-    h = (total[places[:, 1]] - total[places[:, 0]]) * np.cumprod(shrink, dtype=np.uint64)[places[:, 0]]
+    np.cumsum(_TABLE[_BYTES[data]] * powers(_K, n), dtype=np.uint64, out=total[1:])
+    h = (total[places[:, 1]] - total[places[:, 0]]) * powers(_INVERSE, n)[places[:, 0]]
     h = (h ^ (h >> np.uint64(31))) * _MIX
     return h ^ (h >> np.uint64(29))
 

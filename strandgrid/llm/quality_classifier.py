@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgrid.llm._common import drop_written, id_text, row_blocks, table, text_arrays, written
+from strandgrid.llm._common import drop_written, id_text, powers, row_blocks, table, text_arrays, written
 
 #: Bounds of the sample that is learned from: label rows, and bytes of text.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 64 << 20
@@ -41,6 +41,7 @@ STEP_BYTES = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIER = np.uint64(0x100000001B3)
+_INVERSE = pow(int(_MULTIPLIER), -1, 2**64)
 _BLANKS = b" \t\n\v\f\r"
 _BLANK = np.zeros(256, bool)
 _BLANK[list(_BLANKS)] = True
@@ -48,12 +49,6 @@ _BLANK[list(_BLANKS)] = True
 BEGIN, END, SYMBOL = 1, 2, 3
 
 
-def powers(n: int, of: np.uint64 = _MULTIPLIER) -> np.ndarray:
-    out = np.full(n, of, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def bucket(h: np.ndarray, kind: int) -> np.ndarray:
     """Fibonacci hashing of 64 bits to a bucket, salted by the feature's kind."""
     h = (h ^ (h >> np.uint64(29))) * _MIX + np.uint64(kind * 0x632BE59BD9B4E019 & (2**64 - 1))
@@ -85,10 +80,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     own = np.repeat(np.arange(len(start)), size)
     symbols[np.arange(len(own)) + 2 * own + 1] = points[letter].astype(np.uint64) + np.uint64(SYMBOL)
     # a word's hash: the sum of its symbols times the powers of the multiplier, from its first symbol on
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * powers(len(symbols)), dtype=np.uint64)])
-    inverse = np.uint64(pow(int(_MULTIPLIER), -1, 2**64))
+    total = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * powers(int(_MULTIPLIER), len(symbols)), dtype=np.uint64, out=total[1:])
     begins = ends - size - 2
-    h = (total[ends] - total[begins]) * powers(len(symbols), inverse)[begins]
+    h = (total[ends] - total[begins]) * powers(_INVERSE, len(symbols))[begins]
     h = (h ^ (h >> np.uint64(31))) * _MIX
     yield bucket(h, 1), doc
     pair = np.flatnonzero(doc[1:] == doc[:-1])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgrid.llm._common import drop_written, id_text, row_blocks, table, text_arrays, written
+from strandgrid.llm._common import drop_written, id_text, powers, row_blocks, table, text_arrays, written
 from strandgrid.llm._graph import IdFilter, components, id_filter
 
 WORDS = 5
@@ -59,7 +59,8 @@ NO_ID = -(2**63)
 SLICE = 1 << 20
 POSTING = np.dtype([("key", "<u8"), ("class", "<i8"), ("n", "<i4")])
 
-_K = np.uint64(0x100000001B3)
+_K = 0x100000001B3
+_INVERSE = pow(_K, -1, 2**64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.arange(256, dtype=np.uint64)
@@ -102,12 +103,9 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     end, start = edge & blank, edge & ~blank
     start[inner] = end[inner] = True
     start, end = np.flatnonzero(start), np.flatnonzero(end)
-    grow = np.full(n, _K)
-    grow[0] = 1
-    shrink = np.full(n, np.uint64(pow(int(_K), -1, 2**64)))
-    shrink[0] = 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOW[data] * np.cumprod(grow, dtype=np.uint64), dtype=np.uint64)])
-    return start, mixed((total[end] - total[start]) * np.cumprod(shrink, dtype=np.uint64)[start])
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LOW[data] * powers(_K, n), dtype=np.uint64, out=total[1:])
+    return start, mixed((total[end] - total[start]) * powers(_INVERSE, n)[start])
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgrid.llm._common import drop_written, id_text, row_blocks, table, text_arrays, written
+from strandgrid.llm._common import drop_written, id_text, powers, row_blocks, table, text_arrays, written
 
 LENGTH, GRAM = 200, 64
 #: Counters of the sketch, and those sent in one row.  A counter is high from HOT + HOT_TIMES times the mean.
@@ -48,7 +48,7 @@ SLICE = 1 << 20
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_INVERSE = np.uint64(pow(int(_K), -1, 2**64))
+_INVERSE = pow(int(_K), -1, 2**64)
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, np.int64).astype(np.uint64)
 ANCHOR = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("text", "<i8"), ("size", "<i4"), ("at", "<i4"), ("far", "<u1"), ("near", "<u1")])
 
@@ -63,12 +63,9 @@ class Hashes:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        grow = np.full(n, _K)
-        shrink = np.full(n + 1, _INVERSE)
-        grow[:1] = shrink[:1] = 1
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[data] * np.cumprod(grow, dtype=np.uint64), dtype=np.uint64, out=self.total[1:])
-        self.shrink = np.cumprod(shrink, dtype=np.uint64)
+        np.cumsum(_TABLE[data] * powers(int(_K), n), dtype=np.uint64, out=self.total[1:])
+        self.shrink = powers(_INVERSE, n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.total[end] - self.total[start]) * self.shrink[start])
