@@ -31,8 +31,8 @@ from tokenizers import Tokenizer
 from strandgrid.llm._common import LASTING, id_text, row_blocks, table, text_arrays
 from strandgrid.llm.bpe import PairTable, default_path, load
 
-#: Encodings that a worker remembers; all are dropped beyond this.
-MOST_WORDS = 250_000
+#: Encodings that a worker remembers: of so many words, and of the words before them until as many more have come.
+MOST_WORDS = 150_000
 #: Characters of a long text, and ids, that are worked on at once.
 SLICE = 1 << 20
 _CUT = re.compile("[A-Za-z](?= )")
@@ -89,6 +89,7 @@ class Codec:
             self.most[t[:2]] = max(len(t), self.most.get(t[:2], 0))
         self.special = {_ADDED + t: i.to_bytes(4, "little") for t, i in self.merges.added.items()}
         self.memo: dict[str, bytes] = dict(self.special)
+        self.older: dict[str, bytes] = {}
         self.text = self.merges.text | {i: t for t, i in self.merges.added.items()}
         self.seen: set[str] = set()
         self.odd: set[str] = set("Σ")  # lower-cased by its neighbours in Python, not in the library
@@ -166,8 +167,11 @@ class Codec:
                     row.extend(self.words(part))
             rows.append(row)
         if len(self.memo) > MOST_WORDS:
-            self.memo = dict(self.special)
+            self.older, self.memo = self.memo, dict(self.special)
         new = set().union(*rows) - self.memo.keys()
+        again = new & self.older.keys()
+        self.memo.update({w: self.older[w] for w in again})
+        new -= again
         if new:
             self.learn(list(new))
         return [b"".join(map(self.memo.__getitem__, row)) for row in rows]
