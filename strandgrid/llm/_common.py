@@ -30,8 +30,9 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
     """Lower the session's limits on Arrow batches to ours (lower ones stay) for the jobs inside."""
     limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
     before = {k: spark.conf.get(k) for k in limits}
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     for k, most in limits.items():
-        if not 0 < int(before[k].rstrip("b")) <= most:
+        if not 0 < as_bytes(before[k]) <= most:  # 64m, 67108864b or a plain number
             spark.conf.set(k, most)
     try:
         yield
@@ -52,7 +53,7 @@ def powers(of: int, n: int) -> np.ndarray:
     """The first n powers of an odd number, modulo 2**64; not to be written to."""
     held = _POWERS.get(of)
     if held is None or len(held) < n:
-        held = np.full(max(n, 1024), np.uint64(of))
+        held = np.full(n if n > 2 * BLOCK_BYTES else 1 << max(10, (n - 1).bit_length()), np.uint64(of))
         held[0] = 1
         np.cumprod(held, dtype=np.uint64, out=held)
         held.flags.writeable = False

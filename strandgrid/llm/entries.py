@@ -9,7 +9,7 @@ from strandgrid.llm.quality_classifier import op9_subword_quality
 from strandgrid.llm.sharding import op6_hash_tree_shards
 from strandgrid.llm.signature_join import op10_signature_tree_join
 from strandgrid.llm.speculative_bpe import op4_speculative_bpe
-from strandgrid.llm.suffix_dedup import op5_suffix_family_dedup
+from strandgrid.llm.suffix_dedup import LENGTH, op5_suffix_family_dedup
 from strandgrid.llm.token_counts import op1_transducer_counts
 from strandgrid.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, op7_url_vocabulary
 
@@ -53,6 +53,24 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 """
 
 
+#: Strings of bytes are hex digits here; windows are counted by a 128-bit digest.
+OP5 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+sizes AS (SELECT r, doc_id, h, length(h) // 2 AS n FROM docs),
+spots AS (SELECT r, h, unnest(range(0, n - {LENGTH - 1})) AS i FROM sizes WHERE n >= {LENGTH}),
+windows AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS w FROM spots),
+hits AS (SELECT r, i FROM windows SEMI JOIN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1) again USING (w)),
+begun AS (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -{2 * LENGTH}) + {LENGTH})::INT AS new FROM hits),
+runs AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM begun),
+spans AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS b FROM runs GROUP BY r, run),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS was FROM spans),
+kept AS (SELECT r, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS head, max(b) AS rest, count(*) AS n_spans, sum(b - a) AS n_removed FROM gaps JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * rest + 1), h))) AS kept_sha256
+FROM sizes LEFT JOIN kept USING (r)
+"""
+
+
 def _rule_sql(verdict: str, host: str, path: str) -> str:
     return f"SELECT '{host}{path}' AS rule, '{verdict}' AS said, '{host}' AS rule_host, '{path}' AS rule_path"
 
@@ -85,5 +103,5 @@ SELECT docs.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(docs.doc_id, coa
 FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = docs.doc_id
 """
 
-#: The others have no SQL: tokenizers, windows of tokens, byte strings, Spark's own hash, approximate search, a model.
-ORACLE_SQL: dict[str, str] = {"op3_fm_index_leaks": OP3, "op7_url_vocabulary": OP7, "op10_signature_tree_join": OP10}
+#: The others have no SQL: tokenizers, windows of tokens, Spark's own hash, approximate search, a model.
+ORACLE_SQL: dict[str, str] = {"op3_fm_index_leaks": OP3, "op5_suffix_family_dedup": OP5, "op7_url_vocabulary": OP7, "op10_signature_tree_join": OP10}

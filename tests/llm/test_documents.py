@@ -13,7 +13,7 @@ from support import documents, leaks, link_components, odd_texts, repeats, saved
 
 import corpus_pipeline
 from strandgrid.llm import fm_decontamination, quality_classifier, signature_join, suffix_dedup
-from strandgrid.llm._common import row_blocks, text_arrays
+from strandgrid.llm._common import BATCH_BYTES, powers, row_blocks, small_batches, text_arrays
 from strandgrid.llm._graph import components, id_filter
 from strandgrid.llm.entries import QUERIES
 
@@ -512,6 +512,18 @@ def test_tables_and_settings_are_left_as_they_were(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert len(set(folder.iterdir()) - before) <= 4  # the last stage's input and tables that results read
     assert limits == [spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")]
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given in ("64m", "1m", "-1", "300000"):
+        spark.conf.set(size, given)
+        with small_batches(spark):
+            assert spark.conf.get(size) == (given if given in ("1m", "300000") else str(BATCH_BYTES))
+        assert spark.conf.get(size) == given
+    spark.conf.set(size, limits[1])
+
+
+def test_powers():
+    for n in (0, 1, 5, 2000, 3):
+        assert powers(7, n).tolist() == [pow(7, i, 2**64) for i in range(n)]
 
 
 # pipeline

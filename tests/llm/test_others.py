@@ -262,6 +262,28 @@ def test_repeated_rows_take_one_place(spark, tmp_path, monkeypatch, block):
         assert np.allclose([d for _, _, d in near], [d for d, _ in want], atol=1e-12)
 
 
+def test_ties_are_kept_where_the_forest_prunes(spark, tmp_path):
+    """Thirty ids of one vector near the query, and ten at one distance on either side: the smallest ids win."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(24).tolist()) for i in range(1, 3000) if i % 100]
+    query = rng.standard_normal(24)
+    step = np.zeros(24)
+    step[0] = 0.125
+    rows += [(0, query.tolist()), (4000, (query + 8 * step).tolist())]
+    rows += [(i, (query + 8 * step + (2 * step if i % 2 else -2 * step)).tolist()) for i in range(5001, 5021)]
+    rows += [(i, (query + step).tolist()) for i in range(6001, 6031)][::-1]
+    # doubles that floats hold: the distances tie in the table's own type
+    rows = [(i, np.array(v, np.float32).tolist()) for i, v in rows]
+    sf = saved(spark, tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(1))
+    got = defaultdict(list)
+    for r in QUERIES["op8_hash_prefix_forest"](spark, sf).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = brute(rows)
+    assert len(rows) * hash_forest.SHARE < 600
+    assert [i for i, _ in got[0]] == list(range(6001, 6011)) and len({d for _, d in got[0]}) == 1
+    assert [i for i, _ in got[4000]] == [i for _, i in want[4000]]
+
+
 @pytest.mark.parametrize("block,queries", [(None, None), (700, 7)])
 def test_recall(spark, monkeypatch, block, queries):
     if block:
