@@ -261,16 +261,20 @@ class Phrases:
         index = FMIndex(local.astype(np.int64), len(alphabet))
         here = np.full(len(self.vocabulary) + 2, -1, np.int64)
         here[alphabet] = np.arange(len(alphabet))
+        # a window of which the shard lacks a word needs no search
+        lacking = np.concatenate([[0], np.cumsum(here[self.words] < 0)])
+        able = np.flatnonzero(lacking[self.starts + self.lengths.astype(np.int64)] == lacking[self.starts])
         places, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(0, len(self.starts), TOGETHER):
-            start, length = self.starts[k : k + TOGETHER].astype(np.int64), self.lengths[k : k + TOGETHER].astype(np.int64)
+        for k in range(0, len(able), TOGETHER):
+            asked = able[k : k + TOGETHER]
+            start, length = self.starts[asked].astype(np.int64), self.lengths[asked].astype(np.int64)
             lo, hi = index.search(lambda live, back, a=start, n=length: here[self.words[a[live] + n[live] - 1 - back]], length)  # noqa: B023
             own = np.flatnonzero(hi > lo)
             many = hi[own] - lo[own]
             which = np.repeat(own, many)
             rows = np.repeat(lo[own], many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
             places.append(index.locate(rows))
-            windows.append(which + k)
+            windows.append(asked[which])
         return np.concatenate(places), np.concatenate(windows)
 
 
