@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strandgrid.sources.files import dropped, scratch, temporary
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 #: Most rows and bytes of the Arrow batches between Spark and Python in the operators' own jobs; both sides hold a few of
@@ -53,8 +53,8 @@ def powers(of: int, n: int) -> np.ndarray:
     """The first n powers of an odd number, modulo 2**64; not to be written to."""
     held = _POWERS.get(of)
     if held is None or len(held) < n:
-        held = np.full(n if n > 2 * BLOCK_BYTES else 1 << max(10, (n - 1).bit_length()), np.uint64(of))
-        held[0] = 1
+        held = np.full(n + -n % 65536, np.uint64(of))
+        held[:1] = 1
         np.cumprod(held, dtype=np.uint64, out=held)
         held.flags.writeable = False
         if n <= 2 * BLOCK_BYTES:

@@ -617,21 +617,24 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.column("row").flatten()
-            texts = columns[place].to_pylist()
-            for k, asked in enumerate(batch.column("spans").to_pylist()):
-                if not asked:
-                    continue
-                raw, at, kept = texts[k].encode(), 0, []
-                for a, b in union_spans(asked):
-                    while a > 0 and raw[a] & 0xC0 == 0x80:
-                        a -= 1
-                    while b < len(raw) and raw[b] & 0xC0 == 0x80:
-                        b += 1
-                    kept.append(raw[at:a])
-                    at = max(at, b)
-                texts[k] = (b"".join(kept) + raw[at:]).decode()
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            _, offsets = text_arrays(columns[place])
+            for i, j in row_blocks(offsets):
+                part = [c.slice(i, j - i) for c in columns]
+                asked = batch.column("spans").slice(i, j - i)
+                if asked.null_count < len(asked):
+                    part[place] = pa.array([cut(t, x) if x else t for t, x in zip(part[place].to_pylist(), asked.to_pylist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays(part, names=names)
+
+    def cut(text: str, asked: list[dict]) -> str:
+        raw, at, kept = text.encode(), 0, []
+        for a, b in union_spans(asked):
+            while a > 0 and raw[a] & 0xC0 == 0x80:
+                a -= 1
+            while b < len(raw) and raw[b] & 0xC0 == 0x80:
+                b += 1
+            kept.append(raw[at:a])
+            at = max(at, b)
+        return (b"".join(kept) + raw[at:]).decode()
 
     out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
