@@ -290,27 +290,30 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def class_rows(docs: DataFrame) -> DataFrame:
     """doc_id, key, class, n, least of every row: hash of its text; its set's class, size and smallest hash (null if
-    empty).  Besides, chunk and counts: each task's counters of the shingles of its classes."""
-    names = ["doc_id", "key", "class", "n", "least", "chunk", "counts"]
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+    empty); and, for the first row of a class in a task, the set's bitmap.  Besides, chunk and counts: each task's
+    counters of the shingles of its classes."""
+    names = ["doc_id", "key", "class", "n", "least", "bits", "chunk", "counts"]
+    kinds = [pa.int64()] * 5 + [pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(COUNTERS, np.uint32), set()
         for rows, sets in sets_of(batches):
             classes = [class_of(s) if len(s) else None for s in sets]
-            new = [s for s, c in zip(sets, classes, strict=True) if c is not None and c not in seen and not seen.add(c)]
-            if new:
-                counts += np.bincount((np.concatenate(new) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            new = [c is not None and c not in seen and not seen.add(c) for c in classes]
+            if any(new):
+                own = np.concatenate([s for s, x in zip(sets, new, strict=True) if x])
+                counts += np.bincount((own & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             n = len(sets)
-            columns = [classes, [len(s) for s in sets], [int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], [None] * n, [None] * n]
+            bits = [bitmap(s, width(len(s))).tobytes() if x else None for s, x in zip(sets, new, strict=True)]
+            columns = [classes, [len(s) for s in sets], [int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], bits, [None] * n, [None] * n]
             yield pa.record_batch([rows.column(0), rows.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds[2:], strict=True))], names)
         parts = counts.reshape(-1, CHUNK)
         full = np.flatnonzero(parts.any(axis=1)).tolist()
         none = [None] * len(full)
-        columns = [none] * 5 + [full, [zlib.compress(parts[k].tobytes(), 1) for k in full]]
+        columns = [none] * 6 + [full, [zlib.compress(parts[k].tobytes(), 1) for k in full]]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key long, class long, n long, least long, chunk int, counts binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, key long, class long, n long, least long, bits binary, chunk int, counts binary")
 
 
 def common_shingles(rows: DataFrame) -> np.ndarray:
@@ -347,19 +350,6 @@ def whole_sets(docs: DataFrame, only: IdFilter) -> DataFrame:
     return keyed(docs).mapInArrow(run, "class long, n long, least long, set binary")
 
 
-def bitmaps(docs: DataFrame, only: IdFilter) -> DataFrame:
-    """class, bits of the rows whose id passes; once for each class and task."""
-    held = docs.sparkSession.sparkContext.broadcast(only)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, sets in sets_of(batches, held.value):
-            rows = [(c, s) for s in sets if len(s) and (c := class_of(s)) not in seen and not seen.add(c)]
-            yield pa.record_batch([pa.array([c for c, _ in rows], pa.int64()), pa.array([bitmap(s, width(len(s))).tobytes() for _, s in rows], pa.binary())], ["class", "bits"])
-
-    return keyed(docs).mapInArrow(run, "class long, bits binary").dropDuplicates(["class"])
-
-
 def weight(n: str) -> Column:
     """The size of a block: its classes, or its shingles by SHINGLES if that is more."""
     return F.greatest(F.count(F.lit(1)), (F.sum(n) / SHINGLES).cast("long"))
@@ -622,7 +612,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     for rows without shingles; a table in the shared folder."""
     spark = docs.sparkSession
     made = written(class_rows(docs), "classes")
-    common, rows = common_shingles(made), made.where("chunk is null").drop("chunk", "counts")
+    common, rows = common_shingles(made), made.where("chunk is null").drop("bits", "chunk", "counts")
     reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("least").alias("least"))
     held = rows.agg(F.sum("n")).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -633,8 +623,8 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     members = written(shared_prefixes(docs, buckets, common).join(roots, "class", "left").select("key", "class", "n", comp), "prefixes")
     apart = written(open_groups(members), "open")
     drop_written(members)
-    own = apart.select("class").distinct().join(reps, "class").select("doc_id")
-    bits = written(bitmaps(docs, id_filter(own)), "bitmaps")
+    own = made.where("bits is not null").select("class", "bits").join(apart.select("class").distinct(), "class", "left_semi")
+    bits = written(own.dropDuplicates(["class"]), "bitmaps")
     held = apart.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle, held // BUCKET_BYTES + 1)
     named = rows.join(roots, "class", "left").select("doc_id", "key", "n", comp)
