@@ -612,7 +612,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     for rows without shingles; a table in the shared folder."""
     spark = docs.sparkSession
     made = written(class_rows(docs), "classes")
-    common, rows = common_shingles(made), made.where("chunk is null").drop("bits", "chunk", "counts")
+    common, rows = common_shingles(made), written(made.where("chunk is null").drop("bits", "chunk", "counts"), "rows")
     reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("least").alias("least"))
     held = rows.agg(F.sum("n")).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -625,10 +625,11 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     drop_written(members)
     own = made.where("bits is not null").select("class", "bits").join(apart.select("class").distinct(), "class", "left_semi")
     bits = written(own.dropDuplicates(["class"]), "bitmaps")
+    drop_written(made)  # the bitmaps of all classes, and the counters
     held = apart.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle, held // BUCKET_BYTES + 1)
     named = rows.join(roots, "class", "left").select("doc_id", "key", "n", comp)
-    done = [made, roots, bits]
+    done = [rows, roots, bits]
     for best in (BEST, None):
         blocks = blocks_of(apart if best is not None else apart.join(pairs.select(F.col("again").alias("key")), "key", "left_semi"))
         pairs = written(bitmap_pairs(blocks.join(bits, "class"), parts, best).distinct(), "pairs")
