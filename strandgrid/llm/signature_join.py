@@ -7,11 +7,12 @@ traversal drops every pair of nodes whose largest possible overlap is too small
 Blocks come from the sets in hash order.  Documents with equal sets are one class from the start.
 
 1. Classes that share their smallest shingle are joined with their whole sets: this finds most links.
-2. Linked classes share one of their first n - ceil(3n/4) + 1 shingles, in any order that is the same for all (prefix
-   filter).  The order puts shingles of very many documents last: they are counted, over all documents, in a sketch of
-   fixed size, whose only effect is the order and the way their postings go.  So a common passage makes no large block.
-   Classes that share such a shingle and are not yet connected are joined by bitmaps, and the pairs that pass are
-   compared set by set.  First only the BEST pairs of every two components of a block are compared, then all pairs of
+2. Linked classes share one of their first n - ceil(3n/4) + 1 shingles, in any order that is the same for all, and one
+   more for each by which these prefixes are longer (prefix filter; one more for MORE shingles of a set).  The order puts
+   shingles of very many documents last: they are counted, over all documents, in a sketch of fixed size, whose only
+   effect is the order and the way their postings go.  So a common passage makes no large block.  Classes that share
+   enough such shingles with classes that they are not yet connected with are joined by bitmaps, and the pairs that pass
+   are compared set by set.  First only the BEST pairs of every two components of a block are compared, then all pairs of
    what is still apart.
 
 So no link between different components is missed.  Large blocks (of many classes, or of many shingles) are split: in
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandgrid.llm._common import drop_written, id_text, powers, row_blocks, table, text_arrays, written
@@ -43,6 +44,8 @@ WORDS = 5
 BLOCK, WIDE = 4096, 100_000
 SHINGLES = 640
 FANOUT, LEADERS, BEST = 8, 6, 3
+#: A set's prefix is one shingle longer for each so many of its shingles.
+MORE = 32
 #: Blocks of so many rows need no tree above their leaves.
 SMALL = 16
 #: Bytes of packed postings that one task of the prefix filter should hold.
@@ -138,7 +141,13 @@ def class_of(own: np.ndarray) -> int:
 
 
 def prefix_length(n: int) -> int:
-    return n - -(-3 * n // 4) + 1
+    """Shingles in the prefix of a set of n.  Sets of n and m that link have min(n, m) // MORE + 1 in common there."""
+    return n - -(-3 * n // 4) + 1 + n // MORE
+
+
+def least_shared(n: Column) -> Column:
+    """Prefix shingles that a set of n shares with any set that it links with: the smallest such set has ceil(3n/4)."""
+    return F.floor(F.ceil(3 * n / 4) / MORE) + 1
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -382,9 +391,14 @@ def first_links(docs: DataFrame, reps: DataFrame, buckets: int) -> DataFrame:
 def linked_in_parts(docs: DataFrame, reps: DataFrame, buckets: int, level: int) -> DataFrame:
     """class, root within the blocks of equal smallest shingles, or within hash parts of those beyond BLOCK classes."""
     shared = reps.groupBy("least").agg(F.count(F.lit(1)).alias("members"), weight("n").alias("weight")).where("members > 1")
-    own = written(reps.join(shared, "least").select("class", "doc_id", "weight"), "asked")
+    own = written(reps.join(shared, "least").select("class", "doc_id", "least", "weight"), "asked")
     # an id that passes may be another class's: shared, missing, or alike in its hash
-    rows = whole_sets(docs, id_filter(own.select("doc_id"))).join(own.select("class", "weight"), "class")
+    rows, large = whole_sets(docs, id_filter(own.select("doc_id"))), None
+    if level:
+        rows = rows.join(own.select("class", "weight"), "class")
+    else:  # such a class is in ``own`` too, or the only one of its ``least``; so the sets needn't meet their classes
+        large = written(own.where(F.col("weight") > BLOCK).select("least", "weight").distinct(), "large")
+        rows = rows.join(large, "least", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
     part = F.when(F.col("weight") > BLOCK, F.pmod(F.xxhash64("class", F.lit(level)), (F.col("weight") / BLOCK).cast("long") + 1)).otherwise(F.lit(0))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("least", part), F.lit(buckets)).cast("int")).withColumn("part", part)
 
@@ -405,10 +419,21 @@ def linked_in_parts(docs: DataFrame, reps: DataFrame, buckets: int, level: int)
         return pa.table({"class": pa.array(out, pa.int64()), "root": pa.array(roots, pa.int64())})
 
     made = written(rows.select("bucket", "least", "part", "class", "set").groupBy("bucket").applyInArrow(run, "class long, root long"), "roots")
-    drop_written(own)
+    drop_written(own, large)
     return made
 
 
+def only_classes(rows: DataFrame, only: IdFilter) -> DataFrame:
+    """The rows (class, bits) whose class passes."""
+    held = rows.sparkSession.sparkContext.broadcast(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield x.filter(pa.array(held.value.passes(x.column(0).to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(run, "class long, bits binary")
+
+
 def shared_prefixes(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
     """Step 2: key, class, n for every prefix shingle that two or more classes of fitting sizes hold.
 
@@ -590,15 +615,23 @@ def true_links(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def open_groups(members: DataFrame) -> DataFrame:
-    """key, size, class, comp, n: the groups of members of several components, gathered by their smallest class.
+    """key, size, class, comp, n, many: the groups of members (key, class, comp, n, many) of several components, gathered
+    by their smallest class; a table in the shared folder.
 
     Keys whose smallest class is the same share most members (copies share most of their shingles): they are one group,
-    in which a class stands once and a pair meets once.
+    in which a class stands once and a pair meets once.  ``many``: for how many prefix shingles a class stands in a group.
+    A class that stands for fewer, in all groups, than it shares with a set that it links with goes.
     """
     least = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("class").alias("first")).where("c0 <> c1")
-    gathered = members.join(least.select("key", "first"), "key").groupBy("first", "class").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
-    sizes = gathered.groupBy("first").agg(weight("n").alias("size"))
-    return gathered.join(sizes, "first").select(F.col("first").alias("key"), "size", "class", "comp", "n")
+    gathered = members.join(least.select("key", "first"), "key").groupBy("first", "class").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sum("many").alias("many"))
+    # a class has no more groups than prefix shingles
+    gathered = gathered.withColumn("all", F.sum("many").over(Window.partitionBy("class")))
+    gathered = written(gathered.where(F.col("all") >= least_shared(F.col("n"))).drop("all"), "gathered")
+    sizes = gathered.groupBy("first").agg(weight("n").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    out = gathered.join(sizes.select("first", "size"), "first").select(F.col("first").alias("key"), "size", "class", "comp", "n", "many")
+    out = written(out, "open")
+    drop_written(gathered)
+    return out
 
 
 def relabelled(rows: DataFrame, met: DataFrame) -> DataFrame:
@@ -616,14 +649,15 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("least").alias("least"))
     held = rows.agg(F.sum("n")).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffle, held * POSTING.itemsize // 4 // BUCKET_BYTES + 1)  # a quarter of the shingles
+    buckets = max(shuffle, held * POSTING.itemsize * (MORE + 4) // (4 * MORE) // BUCKET_BYTES + 1)  # the prefixes
 
     roots = first_links(docs, reps, max(shuffle, held * 8 // BUCKET_BYTES + 1))
     comp = F.coalesce("root", "class").alias("comp")
     members = written(shared_prefixes(docs, buckets, common).join(roots, "class", "left").select("key", "class", "n", comp), "prefixes")
-    apart = written(open_groups(members), "open")
+    apart = open_groups(members.withColumn("many", F.lit(1)))
     drop_written(members)
-    own = made.where("bits is not null").select("class", "bits").join(apart.select("class").distinct(), "class", "left_semi")
+    asked = apart.select("class").distinct()
+    own = only_classes(made.where("bits is not null").select("class", "bits"), id_filter(asked)).join(asked, "class", "left_semi")
     bits = written(own.dropDuplicates(["class"]), "bitmaps")
     drop_written(made)  # the bitmaps of all classes, and the counters
     held = apart.agg(F.sum("n")).first()[0] or 0
@@ -640,7 +674,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
         done.append(met)
         named = relabelled(named, met)
         if best is not None:
-            apart = written(open_groups(relabelled(apart.drop("size"), met)), "open")
+            apart = open_groups(relabelled(apart.drop("size"), met))
     named = written(named, "linked")
     drop_written(*done)
     return named

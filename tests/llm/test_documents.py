@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from support import documents, leaks, link_components, odd_texts, repeats, saved, sha, shingles
 
 import corpus_pipeline
@@ -442,6 +443,48 @@ def test_large_blocks_give_each_row_once(spark, monkeypatch):
     assert got == sorted([(i, n, c) for (i, _), (n, c) in zip(rows, link_components(rows), strict=True)], key=str)
 
 
+def test_prefixes_of_linked_sets(spark):
+    """Prefixes of linked sets share as many shingles as asked, at sizes where a link needs all of the smaller set too."""
+    rng = np.random.default_rng(3)
+    least = dict(map(tuple, spark.range(1, 1400).select("id", signature_join.least_shared(F.col("id"))).collect()))
+    common = rng.random(1 << 10) < 0.3
+    for n in [*range(1, 70), *range(70, 1000, 23)]:
+        for m in {n, n + n // 6, n + n // 3}:
+            both = max(-(-3 * (n + m) // 7), 0)
+            pool = rng.integers(0, 2**63, n + m - both, np.uint64)
+            a, b = (signature_join.common_last(np.sort(x), common) for x in (pool[:n], np.concatenate([pool[:both], pool[n:]])))
+            assert len(b) == m and signature_join.links(np.sort(a), np.sort(b))
+            shared = len(np.intersect1d(a[: signature_join.prefix_length(n)], b[: signature_join.prefix_length(m)]))
+            assert shared >= max(least[n], least[m]) >= 1, (n, m)
+    # the smallest shingles of each are the other's largest: as few as can be
+    for n in range(1, 1000):
+        m = n + n // 3
+        a, b = np.arange(m - n, m), np.arange(m)
+        assert len(np.intersect1d(a[: signature_join.prefix_length(n)], b[: signature_join.prefix_length(m)])) >= max(least[n], least[m]), n
+
+
+def test_documents_that_meet_by_chance_reach_no_bitmaps(spark, monkeypatch):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    lines = [words(9) for _ in range(10)]
+    texts = []
+    for k in range(60):
+        text = words(400)
+        for x in (k, 7 * k + 1):
+            text[50 + 100 * (x % 3) : 59 + 100 * (x % 3)] = lines[x % 10]
+        texts.append(" ".join(text))
+    for k in range(12):
+        copy = texts[k].split(" ")
+        for _ in range(rng.choice([3, 8, 12])):
+            copy[rng.randrange(400)] = "other"
+        texts += [" ".join(copy), " ".join(texts[k].split(" ")[: rng.choice([300, 302, 304, 350])])]
+    met, whole = set(), signature_join.bitmap_pairs
+    monkeypatch.setattr(signature_join, "bitmap_pairs", lambda rows, *more: met.update(r[0] for r in rows.select("class").collect()) or whole(rows, *more))
+    got = row_links(signature_join.link_components(documents(spark, texts)))
+    assert [got[k] for k in range(len(texts))] == link_components(list(enumerate(texts)))
+    assert 0 < len(met) <= 36
+
+
 def test_words_of_slices(monkeypatch):
     for t in [*odd_texts(), " ".join(near_copies(20))]:
         raw = np.frombuffer((t or "").encode(), np.uint8)
