@@ -202,6 +202,17 @@ def test_vocabulary_table(spark):
         assert url_filter.vocabulary_blocks(f"http://h.example/{words}")
 
 
+def test_verdicts_of_the_rules(spark, tmp_path):
+    """The words of the contract's list, written out here."""
+    said = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {h + p: v for v, h, p in url_filter.RULES} == said
+    urls = ["http://a.com/en/casino", "http://example.com/en/7/casino", "http://a.net/de/casino", "http://example.net/de/7-casino", "http://a.example.net/de/81", "http://a.org/es/x"]
+    rules = ["com/en/", "example.com/en/7", "net/de/", "net/de/", "example.net/de/8", "org/es/"]
+    sf = saved(spark, tmp_path, pages=spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    got = sorted(QUERIES["op7_url_vocabulary"](spark, sf).select("page_id", "rule", "verdict").collect())
+    assert [tuple(r) for r in got] == [(k, r, said[r]) for k, r in enumerate(rules)]
+
+
 def test_rules_of_equal_length():
     table = url_filter.RuleTable([("block", "b.com", "/aaaa"), ("allow", "a.b.com", "/aa"), ("block", "a.b.com", "/aa")])
     assert table.match("a.b.com", "/aaaab") == ("a.b.com/aa", "allow")
