@@ -7,6 +7,8 @@ tokens at once.  A signature is packed into 64-bit words, so the test is a few b
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,13 @@ DJB2_BASIS, DJB2_FACTOR = 5381, 33
 SDBM_FACTOR = 65599
 
 _PLAIN = re.compile(f"[^{SPACES}]+")
-_PARTS = re.compile("[ " + re.escape(SEPARATORS) + "]+")
 _SPACE_CHARACTERS = "".join(chr(c) for c in range(0x10000) if re.match(f"[{SPACES}]", chr(c)))
+#: White space to str.split, but not the Unicode property.
+_NO_SPACES = "\x1c\x1d\x1e\x1f"
+#: Bytes of text and bits of signatures that one step works on; they bound the memory of a Python worker.
+BLOCK_BYTES, BLOCK_BITS = 1 << 20, 1 << 23
+#: So few words are hashed one by one.
+FEW = 8
 
 
 def check_size(bits: int, batch: int) -> None:
@@ -35,57 +42,95 @@ def check_size(bits: int, batch: int) -> None:
 
 
 def positions(words: list[str], bits: int) -> np.ndarray:
-    """Three bit positions for each word (n x 3)."""
-    units = [np.frombuffer(w.encode("utf-16-le", "surrogatepass"), "<u2") for w in words]
-    n, width = len(units), max((len(u) for u in units), default=0)
-    size = np.array([len(u) for u in units], np.int64)
-    grid = np.zeros((n, width), np.uint64)
-    grid[np.arange(width) < size[:, None]] = np.concatenate(units) if n and width else np.zeros(0)
+    """Three bit positions for each word (n x 3).
+
+    All words take one code unit in a step, the longest first, so those that have one left stay a prefix.
+    """
+    n = len(words)
+    units = np.frombuffer("".join(words).encode("utf-16-le", "surrogatepass"), "<u2")
+    size = np.fromiter(map(len, words), np.int64, n)
+    if int(size.sum()) != len(units):  # some characters are two units
+        size = np.fromiter((len(w.encode("utf-16-le", "surrogatepass")) // 2 for w in words), np.int64, n)
+    order = np.argsort(-size, kind="stable")
+    start, size = (np.cumsum(size) - size)[order], size[order]
     fnv, djb, sdbm = np.full(n, FNV_BASIS, np.uint64), np.full(n, DJB2_BASIS, np.uint64), np.zeros(n, np.uint64)
     low = np.uint64(0xFFFFFFFF)
-    for k in range(width):
-        on, c = k < size, grid[:, k]
-        fnv = np.where(on, (fnv ^ c) * np.uint64(FNV_PRIME) & low, fnv)
-        djb = np.where(on, djb * np.uint64(DJB2_FACTOR) + c, djb)
-        sdbm = np.where(on, c + sdbm * np.uint64(SDBM_FACTOR), sdbm)
-    return np.stack([fnv, djb, sdbm], 1) % np.uint64(bits)
+    k, left = 0, int(np.count_nonzero(size))
+    while left > FEW:
+        c, f, d, s = units[start[:left] + k].astype(np.uint64), fnv[:left], djb[:left], sdbm[:left]
+        f ^= c
+        f *= np.uint64(FNV_PRIME)
+        f &= low
+        d *= np.uint64(DJB2_FACTOR)
+        d += c
+        s *= np.uint64(SDBM_FACTOR)
+        s += c
+        k += 1
+        left = int(np.searchsorted(-size[:left], -k))
+    for w in range(left):
+        f, d, s = int(fnv[w]), int(djb[w]), int(sdbm[w])
+        for at in range(int(start[w]) + k, int(start[w] + size[w]), BLOCK_BYTES):
+            for c in units[at : min(at + BLOCK_BYTES, int(start[w] + size[w]))].tolist():
+                f = (f ^ c) * FNV_PRIME & 0xFFFFFFFF
+                d = d * DJB2_FACTOR + c & 0xFFFFFFFFFFFFFFFF
+                s = c + s * SDBM_FACTOR & 0xFFFFFFFFFFFFFFFF
+        fnv[w], djb[w], sdbm[w] = f, d, s
+    out = np.empty((n, 3), np.uint64)
+    out[order] = np.stack([fnv, djb, sdbm], 1) % np.uint64(bits)
+    return out
 
 
 def token_set(low: str, mode: str) -> set[str]:
     """The distinct tokens of a lower-cased text; as text.tokens gives them."""
-    out = set(_PLAIN.findall(low))
+    out = set(_PLAIN.findall(low) if any(c in low for c in _NO_SPACES) else low.split())
     if mode != "spaces":
-        out.update(x.strip(_SPACE_CHARACTERS) for x in _PARTS.split(low))
+        for c in SEPARATORS:
+            low = low.replace(c, " ")
+        out.update([x.strip(_SPACE_CHARACTERS) for x in set(low.split(" ")) - out])
         out.discard("")
     return out
 
 
 def packed(texts: list[str | None], bits: int, mode: str) -> np.ndarray:
     """The signatures of some texts: one row each of 64-bit words, bit b in word b // 64."""
-    known: dict[str, int] = {}
-    sets = [[known.setdefault(t, len(known)) for t in token_set(x, mode)] if x is not None else [] for x in texts]
-    at = positions(list(known), bits).astype(np.int64)
+    sets = [token_set(x, mode) if x is not None else () for x in texts]
+    # a token is hashed for each text that has it: that takes less time than to look it up
+    at = positions(list(chain.from_iterable(sets)), bits).astype(np.int64)
     row = np.repeat(np.arange(len(texts)), [len(x) for x in sets])
     out = np.zeros((len(texts), -(-bits // 64) * 64), bool)
-    own = np.fromiter((t for x in sets for t in x), np.int64, len(row))
-    out[row[:, None], at[own]] = True
+    for h in range(3):
+        out[row, at[:, h]] = True
     return np.packbits(out, axis=1, bitorder="little").view("<i8")
 
 
+def blocks(rows: pa.Array, bits: int) -> Iterator[pa.Array]:
+    """Slices of at most BLOCK_BYTES of text and BLOCK_BITS of signatures; a text beyond that is one of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    most, k = max(1, BLOCK_BITS // bits), 0
+    while k < len(rows):
+        before = int(ends[k - 1]) if k else 0
+        to = min(max(k + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, "right"))), k + most)
+        yield rows.slice(k, to - k)
+        k = to
+
+
+def hashed(rows: pa.Array, bits: int, mode: str) -> pa.Array:
+    """The signatures of an Arrow batch of lower-cased texts, made block by block."""
+    words = -(-bits // 64)
+    made = [packed(part.to_pylist(), bits, mode).ravel() for part in blocks(rows, bits)]
+    flat = np.concatenate(made) if made else np.zeros(0, np.int64)
+    out = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * words), pa.array(flat))
+    return pc.if_else(rows.is_null(), pa.scalar(None, out.type), out)
+
+
 def signature(column: Column, bits: int, mode: str = "words") -> Column:
     """array<bigint> of a text's signature, packed; NULL for NULL.  Texts become tokens and bits in Arrow batches."""
-    words = -(-bits // 64)
-    most = max(1, (1 << 23) // bits)  # rows whose bits are spread out at once
 
     @F.arrow_udf("array<bigint>")
-    def hashed(rows: pa.Array) -> pa.Array:
-        texts = rows.to_pylist()
-        made = [packed(texts[k : k + most], bits, mode).ravel() for k in range(0, len(texts), most)]
-        flat = np.concatenate(made) if made else np.zeros(0, np.int64)
-        out = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * words), pa.array(flat))
-        return pc.if_else(rows.is_null(), pa.scalar(None, out.type), out)
-
-    return hashed(F.lower(column))
+    def made(rows: pa.Array) -> pa.Array:
+        return hashed(rows, bits, mode)
+
+    return made(F.lower(column))
 
 
 def share_of_bits(signature: Column, bits: int) -> Column:

@@ -1,5 +1,8 @@
 """Text and vector searches on literal rows."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,6 +146,31 @@ def test_signature_hashes():
         assert signatures.positions([word], 1000).tolist() == [[fnv % 1000, djb % 1000, sdbm % 1000]]
 
 
+def most_memory(make):
+    """What make() gives, and the most bytes that Python and numpy held for it."""
+    tracemalloc.start()
+    try:
+        return make(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_long_word_costs_no_memory_for_the_others():
+    words = [f"w{k}" for k in range(2000)]
+    both, most = most_memory(lambda: signatures.positions([*words, "x" * 10_000], 256))
+    assert both[:-1].tolist() == signatures.positions(words, 256).tolist() and most < 16 << 20
+
+
+def test_signatures_are_made_in_blocks():
+    texts = [None if k % 50 == 0 else " ".join(f"{k}x{j}" for j in range(60_000 if k == 99 else 300)) for k in range(1, 1600)]
+    rows = pa.array(texts, pa.string())
+    assert [x for part in signatures.blocks(rows, 256) for x in part.to_pylist()] == texts
+    got, most = most_memory(lambda: signatures.hashed(rows, 256, "words"))
+    assert most < 64 << 20  # all at once: 200 MB and more
+    for k in (0, 48, 49, 98, 1598):
+        assert got[k].as_py() == (None if texts[k] is None else signatures.packed([texts[k]], 256, "words")[0].tolist())
+
+
 V = [(1, [0.01, 0.02, 0.03]), (2, [0.011, 0.022, 0.033]), (3, [-0.01, -0.02, -0.03]), (4, [-0.011, -0.022, -0.033]), (5, None)]
 
 
