@@ -27,10 +27,17 @@ def until_count(rows: DataFrame, key: str, batch: int, stop: int) -> DataFrame:
     """The rows of all batches of ``batch`` keys up to the one in which the running count reaches ``stop``.
 
     The running count has two levels: runs of RUN batches are summed up in one task, which sees one row for each of them,
-    and the batches of a run in one task for each run.
+    and the batches of a run in one task for each run.  Rows without a key are of no batch.
+
+    ``rows`` may be dear, so they are made once: counts and result read one shuffle of them.  Spark shares it only if
+    both want the same columns and rows of it: the counts group by all columns, and the condition on the partition's
+    number, which always holds, isn't deterministic, so none is pushed below it.
     """
-    held = rows.withColumn("_batch", F.floor(F.col(key) / F.lit(batch)))
-    sizes = held.groupBy("_batch").agg(F.count(F.lit(1)).alias("_n")).withColumn("_run", F.floor(F.col("_batch") / F.lit(RUN)))
+    at = lambda k: F.floor(F.col(k) / F.lit(batch))
+    dealt = rows.where(F.col(key).isNotNull()).repartition(at(key)).where(F.spark_partition_id() >= 0)
+    held = dealt.withColumn("_batch", at(key))
+    sizes = held.groupBy("_batch", *[c for c in rows.columns if c != key]).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.groupBy("_batch").agg(F.sum("_n").alias("_n")).withColumn("_run", F.floor(F.col("_batch") / F.lit(RUN)))
     earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = sizes.groupBy("_run").agg(F.sum("_n").alias("_n")).select("_run", earlier(Window.orderBy("_run")).alias("_start"))
     inside = sizes.withColumn("_within", earlier(Window.partitionBy("_run").orderBy("_batch")))

@@ -171,6 +171,22 @@ def test_signatures_are_made_in_blocks():
         assert got[k].as_py() == (None if texts[k] is None else signatures.packed([texts[k]], 256, "words")[0].tolist())
 
 
+def test_a_search_that_stops_makes_each_signature_once(spark):
+    for shards, last in ((1, 2047), (2, 1023)):
+        df = spark.range(5000 * shards).selectExpr(f"cast(id div {shards} as int) Id", f"cast(id % {shards} as int) Sid", "concat('common x', id) NameSearch")
+        q = Query(df, over(df).schema, shard="Sid" if shards > 1 else None, signature_index=("NameSearch", 512))
+        found = q.search_bitfunnel("NameSearch", "common", stop_count=1500).get_ids()
+        got = found.collect()
+        assert len(got) == len(set(got)) == 2048 and max(r["Id"] for r in got) == last
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ArrowEvalPython") == 1
+
+
+def test_rows_without_a_key_are_of_no_batch(spark):
+    df = spark.createDataFrame([(None, "common")] * 9 + [(k, "common") for k in range(3)], "Id int, NameSearch string")
+    q = Query(df, over(df).schema, signature_index=("NameSearch", 512))
+    assert ids(q.search_bitfunnel("NameSearch", "common", stop_count=5)) == [0, 1, 2]
+
+
 V = [(1, [0.01, 0.02, 0.03]), (2, [0.011, 0.022, 0.033]), (3, [-0.01, -0.02, -0.03]), (4, [-0.011, -0.022, -0.033]), (5, None)]
 
 
